@@ -11,6 +11,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -97,6 +98,17 @@ def texts_of(column: pa.Array) -> list[bytes]:
     return [b if b is not None else b"" for b in column.cast(pa.large_binary()).to_pylist()]
 
 
+def runs(batches: Iterable[pa.RecordBatch], column: str = "text", size: int = CHUNK) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about `size` bytes of text, so that a worker holds few texts at once."""
+    for x in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(x[column]), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 16)
+        i = 0
+        while i < x.num_rows:
+            j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + size, "right")))
+            yield x.slice(i, j - i)
+            i = j
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
@@ -105,11 +117,6 @@ def batch(schema: pa.Schema, *columns: object) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
-def sliced(table: pa.RecordBatch, rows: int) -> Iterable[pa.RecordBatch]:
-    for i in range(0, table.num_rows, rows):
-        yield table.slice(i, rows)
-
-
 # --- Spark ---------------------------------------------------------------------------------
 
 

@@ -124,8 +124,11 @@ class Mix:
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """docs as the mix takes them: whole copies for whole turns, and the first words for a part."""
-    taken = Mix(docs, **options).taken().select("doc_id", "size", "turns", "part")
-    both = docs.join(taken.withColumnRenamed("doc_id", "d"), docs["doc_id"].eqNullSafe(F.col("d")) & (F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)) == F.col("size")))
+    taken = Mix(docs, **options).taken().select(F.col("doc_id").alias("_d"), F.col("size").alias("_s"), "turns", "part", F.row_number().over(W.partitionBy("doc_id", "size").orderBy("start")).alias("_k"))
+    own = docs.withColumn("_size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
+    # Rows that share an id and a size are told apart by their place among themselves.
+    own = own.withColumn("_nth", F.row_number().over(W.partitionBy("doc_id", "_size").orderBy("text")))
+    both = own.join(taken, own["doc_id"].eqNullSafe(taken["_d"]) & (F.col("_size") == F.col("_s")) & (F.col("_nth") == F.col("_k"))).withColumn("size", F.col("_s"))
     whole = both.where("turns > 0 and size > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("turns")))).select(*docs.columns)
     words = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)), F.lit(1), F.col("part").cast("int")), " ")
     first = both.where("part > 0").withColumn("text", words)

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import chat_format, mixing, ngram_jaccard, piece_bpe, quality_rules, spot_signatures
+from waymark.llm import chat_format, lattice_lm, mincut_html, mixing, ngram_jaccard, piece_bpe, quality_classifier, quality_rules, spot_signatures, substring_dedup
 from waymark.llm.common import load
 
 #: Vocabulary of op6 and op5; a folder of the machine that starts the query.
@@ -105,5 +105,36 @@ p AS (SELECT d.doc_id, d.size, t.source_size, t.target, CAST(round(t.target) AS
 SELECT doc_id, size, source_size, target, CAST(CASE WHEN source_size = 0 THEN 0 ELSE run // source_size * size + greatest(0, least(fin, run % source_size) - (fin - size)) END AS BIGINT) AS taken FROM p
 """
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_spot_fingerprints, op4_chat_format, op6_piece_bpe, op7_quality_rules, op10_mix_sources)}
-SQL = {"op4_chat_format": OP4_SQL, "op7_quality_rules": OP7_SQL, "op10_mix_sources": OP10_SQL}
+
+def op3_mincut_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mincut_html.extract_pages(load(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op5_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lattice_lm.score_documents(load(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    return quality_classifier.QualityClassifier(docs, load(spark, sf_dir, "labels")).classify(docs).select("doc_id", F.col("host").alias("source"), "evidence", "score", "kept")
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring_dedup.SubstringDedup().run(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+OP9_SQL = r"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT r, doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM t, unnest(range(1, greatest(len(w) - 48, 1))) AS u(i)),
+firsts AS (SELECT h, min(doc_id) AS m FROM win GROUP BY h),
+late AS (SELECT r, i FROM win JOIN firsts USING (h) WHERE doc_id > m),
+gone AS (SELECT DISTINCT r, i + k AS p FROM late, unnest(range(0, 50)) AS v(k)),
+left_ AS (SELECT t.r, p, w[p] AS word FROM t, unnest(range(1, len(w) + 1)) AS u(p)),
+kept AS (SELECT l.r, count(*) AS n, string_agg(word, ' ' ORDER BY l.p) AS text FROM left_ l ANTI JOIN gone g ON l.r = g.r AND l.p = g.p GROUP BY l.r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM t LEFT JOIN kept USING (r)
+"""
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_spot_fingerprints, op3_mincut_html, op4_chat_format, op5_lattice_lm, op6_piece_bpe, op7_quality_rules, op8_quality_classifier, op9_substring_dedup, op10_mix_sources)}
+SQL = {"op4_chat_format": OP4_SQL, "op7_quality_rules": OP7_SQL, "op9_substring_dedup": OP9_SQL, "op10_mix_sources": OP10_SQL}
