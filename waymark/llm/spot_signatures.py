@@ -34,14 +34,24 @@ al como con del el las lo los más no para por se su una y
 """.split()
 
 
+def _anchors() -> str:
+    """Alternatives grouped by their first letter, so that few are tried at a word."""
+    by = {}
+    for w in sorted(set(ANCHORS)):
+        by.setdefault(w[0], []).append(w[1:])
+    return "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in by.items())
+
+
 def signatures(text: Column) -> Column:
     """Sorted distinct 32-bit hashes of the text's chains."""
-    plain = F.concat(F.lit(" "), F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "), F.lit(" "))
-    plain = F.regexp_replace(plain, "^  +|  +$", " ")
-    chains = F.split(plain, f" (?:(?:{'|'.join(sorted(ANCHORS, key=len, reverse=True))}) )+", -1)
+    inner = F.btrim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", "  "))
+    # Every word stands between spaces of its own, so each anchor is one match, without any repetition
+    # in the pattern that the regular-expression engine would recurse into.
+    plain = F.concat(F.lit(" "), inner, F.lit(" "))
+    chains = F.split(F.regexp_replace(plain, f" (?:{_anchors()}) ", "\x01"), "\x01+", -1)
     behind = F.slice(chains, 2, F.greatest(F.size(chains) - 1, F.lit(0)))
-    hashes = F.transform(F.filter(behind, lambda c: c != ""), lambda c: F.hash(F.substring_index(F.btrim(c), " ", CHAIN)))
-    words = F.transform(F.filter(F.split(plain, " "), lambda c: c != ""), lambda c: F.hash(c))
+    hashes = F.transform(F.filter(behind, lambda c: c != ""), lambda c: F.hash(F.substring_index(F.btrim(c), "  ", CHAIN)))
+    words = F.transform(F.filter(F.split(inner, "  "), lambda c: c != ""), lambda c: F.hash(c))
     return F.when(F.size(hashes) > 0, F.array_sort(F.array_distinct(hashes))).otherwise(F.array_sort(F.array_distinct(words)))
 
 
