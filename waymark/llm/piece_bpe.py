@@ -20,11 +20,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from waymark.llm.common import clash_free
+from waymark.llm.common import clash_free, runs
 
 SPACE = "▁"
-#: Segments remembered by a worker, and characters encoded in one call of `merge`.
-REMEMBERED, AT_ONCE = 300_000, 1 << 20
+#: Segments in each of a worker's two generations of remembered ones, and characters that one
+#: call of `merge` takes.
+REMEMBERED, AT_ONCE = 120_000, 1 << 19
 
 
 class PieceBpe:
@@ -60,8 +61,9 @@ class PieceBpe:
         self.rank_of = np.full(n, self.never, np.int32)
         for p, i in pieces.items():
             self.rank_of[i] = order[scores[p]]
-        at = np.argsort(keys)
-        self.keys, self.merged, self.loose = np.array(keys, np.int64)[at], np.array(merged, np.int64)[at], loose
+        self.loose = loose
+        self.keys, self.merged = self._table(np.array(keys, np.int64), np.array(merged, np.int64))
+        self.ints = list(range(n))
         chars = sorted(c for c in symbols if len(c) == 1)
         self.chars, self.char_ids = np.array([ord(c) for c in chars], np.uint32), np.array([symbols[c] for c in chars], np.int64)
         apart = "" if any("\n" in p for p in pieces) else "\n"
@@ -69,12 +71,38 @@ class PieceBpe:
             raise ValueError("a piece has a space mark after another character")
         self.segments = re.compile(f"{SPACE}*[^{SPACE}{apart}]+|{SPACE}+" + f"|{apart}" * bool(apart))
         self.seen: dict[str, list[int]] = {}
+        self.older: dict[str, list[int]] = {}
+
+    SLOTS = 20
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.SLOTS)).astype(np.int64)
+
+    def _table(self, keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Open addressing: a key stands in the first free slot from its own on."""
+        held, of = np.full((1 << self.SLOTS) + 4096, -1, np.int64), np.full((1 << self.SLOTS) + 4096, -1, np.int64)
+        slot = self._slot(keys)
+        while len(keys):
+            _, first = np.unique(slot, return_index=True)
+            first = first[held[slot[first]] < 0]
+            held[slot[first]], of[slot[first]] = keys[first], values[first]
+            left = np.ones(len(keys), bool)
+            left[first] = False
+            keys, values, slot = keys[left], values[left], slot[left] + 1
+        return held, of
 
     def _pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         key = left * self.width + right
-        at = np.searchsorted(self.keys, key)
-        at[at == len(self.keys)] = 0
-        piece = np.where(self.keys[at] == key, self.merged[at], -1)
+        at = self._slot(key)
+        there = self.keys[at]
+        piece = np.where(there == key, self.merged[at], -1)
+        todo = np.flatnonzero((there != key) & (there >= 0))
+        while len(todo):
+            at[todo] += 1
+            there = self.keys[at[todo]]
+            hit = there == key[todo]
+            piece[todo[hit]] = self.merged[at[todo[hit]]]
+            todo = todo[~hit & (there >= 0)]
         return piece, np.where(piece >= 0, self.rank_of[piece], self.never)
 
     def merge(self, segments: list[str]) -> list[list[int]]:
@@ -129,7 +157,8 @@ class PieceBpe:
         sym, seg, source = np.concatenate(out_sym), np.concatenate(out_seg), np.concatenate(out_source)
         order = np.argsort(source, kind="stable")
         sym, seg, source = sym[order], seg[order], source[order]
-        ids, bounds = sym.tolist(), np.searchsorted(seg, np.arange(len(segments) + 1)).tolist()
+        ints, n = self.ints, self.n
+        ids, bounds = [ints[i] if i < n else i for i in sym.tolist()], np.searchsorted(seg, np.arange(len(segments) + 1)).tolist()
         result = [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
         for k in np.unique(seg[sym >= self.n]).tolist():
             whole = []
@@ -141,19 +170,24 @@ class PieceBpe:
     def encode(self, texts: list[str]) -> list[list[int]]:
         """Ids of each text, the end id last."""
         split = [self.segments.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        new = [s for s in dict.fromkeys(s for x in split for s in x) if s not in self.seen]
-        if len(self.seen) + len(new) > REMEMBERED:
-            self.seen = {}
-            new = list(dict.fromkeys(s for x in split for s in x))
+        if len(self.seen) > REMEMBERED:
+            self.seen, self.older = {}, self.seen
+        seen, older, new = self.seen, self.older, []
+        for s in {s for x in split for s in x}:
+            if s not in seen:
+                if s in older:
+                    seen[s] = older[s]
+                else:
+                    new.append(s)
         i = 0
         while i < len(new):
             j, held = i, 0
             while j < len(new) and (j == i or held + len(new[j]) <= AT_ONCE):
                 held += len(new[j])
                 j += 1
-            self.seen.update(zip(new[i:j], self.merge(new[i:j])))
+            seen.update(zip(new[i:j], self.merge(new[i:j])))
             i = j
-        seen, out = self.seen, []
+        out = []
         for x in split:
             ids: list[int] = []
             for s in x:
@@ -175,16 +209,8 @@ def encode_decode(docs: DataFrame, model_path: str, key: str = "doc_id") -> Data
 
     def run(batches):
         bpe = PieceBpe(model)
-        for x in batches:
-            texts = [t or "" for t in x["text"].to_pylist()]
-            i = 0
-            while i < len(texts):
-                j, held = i, 0
-                while j < len(texts) and (j == i or held + len(texts[j]) <= AT_ONCE):
-                    held += len(texts[j])
-                    j += 1
-                ids = bpe.encode(texts[i:j])
-                yield pa.RecordBatch.from_arrays([x[key].slice(i, j - i), pa.array(ids, pa.list_(pa.int32())), pa.array(bpe.decode(ids), pa.string())], [key, "ids", "decoded"])
-                i = j
+        for x in runs(batches):
+            ids = bpe.encode([t or "" for t in x["text"].to_pylist()])
+            yield pa.RecordBatch.from_arrays([x[key], pa.array(ids, pa.list_(pa.int32())), pa.array(bpe.decode(ids), pa.string())], [key, "ids", "decoded"])
 
     return docs.mapInArrow(run, f"{key} {kind}, ids array<int>, decoded string")
