@@ -88,7 +88,8 @@ class QualityClassifier:
     """Fitted on labels(doc_id, quality); `classify` gives every row's verdict."""
 
     def __init__(self, docs: DataFrame, labels: DataFrame):
-        self.weights, self.slope, self.shift, self.prior = np.zeros(2 * BUCKETS), 1.0, 0.0, 1.0
+        # Until both kinds are seen, every document is good.
+        self.weights, self.slope, self.shift, self.prior = np.zeros(2 * BUCKETS), 0.0, float(np.log(1e6)), 1.0
         labels = clash_free(labels, "doc_id", "quality").where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
         marked = clash_free(docs, "doc_id", "text").join(small(labels, labels.count(), BROADCAST_LABELS), "doc_id")
         fold = F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0
