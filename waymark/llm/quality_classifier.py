@@ -1,8 +1,8 @@
 """Quality classifier with hierarchical empirical Bayes.
 
-Document evidence: every token counts by its hashed word and its hashed shape (kinds of
-characters in a row); each of BUCKETS buckets has a naive-Bayes log ratio from the labelled
-documents' counts, and a document's evidence is the mean over its tokens, brought to log-odds by a
+Document evidence: every token counts by its hashed word, its hashed shape (kinds of characters
+in a row) and whether it repeats one of the two words before it; each bucket of these has a
+naive-Bayes log ratio from the labelled documents' counts, and a document's evidence is the mean over its tokens, brought to log-odds by a
 logistic fit on labelled documents that the counts did not use.  Counts come by grouped
 aggregation over all labelled documents; what reaches the driver is bounded by BUCKETS and BINS.
 
@@ -37,8 +37,13 @@ for _c in b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~":
     _CLASS[_c] = 6 + _c
 
 
-def tokens(run: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word buckets, shape buckets, bounds of documents) of a run of texts."""
+#: Buckets in all: of words, of shapes, of repeats.
+KINDS = (slice(0, BUCKETS), slice(BUCKETS, 2 * BUCKETS), slice(2 * BUCKETS, 2 * BUCKETS + 4))
+ALL = 2 * BUCKETS + 4
+
+
+def tokens(run: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets of each word: three columns, bounds of documents) of a run of texts."""
     w = Words(run)
     kind = _CLASS[w.buf]
     fresh = np.concatenate([[True], kind[1:] != kind[:-1]])
@@ -48,18 +53,27 @@ def tokens(run: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     np.cumsum(np.where(fresh, kind * _power(_P, int(place[-1]) + 1)[place], _U(0)), out=sums[1:])
     shape = mix((sums[w.end] - sums[w.start]) * _power(_P_INV, int(place[-1]) + 1)[place[w.start]])
     low = Words(run, lower=True).hash
-    return (low & _U(BUCKETS - 1)).astype(np.int64), (shape & _U(BUCKETS - 1)).astype(np.int64), w.bounds
+    again = np.zeros(len(low), np.int64)
+    for back in (1, 2):
+        again[back:] |= (low[back:] == low[:-back]).astype(np.int64) << (back - 1)
+    # What a document's first words would repeat is in the document before.
+    firsts = np.unique(w.bounds[:-1])
+    again[firsts[firsts < len(low)]] = 0
+    again[firsts[firsts + 1 < len(low)] + 1] &= 1
+    columns = (low & _U(BUCKETS - 1)).astype(np.int64), (shape & _U(BUCKETS - 1)).astype(np.int64) + BUCKETS, again + 2 * BUCKETS
+    return np.stack(columns, 1), w.bounds
 
 
 def _tallied(batches):
     schema = pa.schema([("bucket", pa.int32()), ("good", pa.int64()), ("bad", pa.int64())])
-    total = np.zeros((2, 2 * BUCKETS), np.int64)
+    total = np.zeros((2, ALL), np.int64)
     for x in runs(batches):
         quality = x["quality"].to_numpy()
         for first, part in chunks(texts_of(x["text"])):
-            words, shapes, bounds = tokens(part)
-            for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])):
-                total[int(quality[first + i] == 0)] += np.bincount(np.concatenate([words[a:b], shapes[a:b] + BUCKETS]), minlength=2 * BUCKETS)
+            buckets, bounds = tokens(part)
+            bad = np.repeat(quality[first : first + len(part)] == 0, np.diff(bounds))
+            for k in (0, 1):
+                total[k] += np.bincount(buckets[bad == k].ravel(), minlength=ALL)
     at = np.flatnonzero(total.any(0))
     yield batch(schema, at, total[0, at], total[1, at])
 
@@ -71,8 +85,8 @@ def _evidence(weights: np.ndarray, extra: list[pa.Field]):
         for x in runs(batches):
             out = []
             for _, part in chunks(texts_of(x["text"])):
-                words, shapes, bounds = tokens(part)
-                run_ = np.concatenate([[0.0], np.cumsum(weights[words] + weights[shapes + BUCKETS])])
+                buckets, bounds = tokens(part)
+                run_ = np.concatenate([[0.0], np.cumsum(weights[buckets].sum(1))])
                 n = np.diff(bounds)
                 out += [float((run_[b] - run_[a]) / m) if m else None for a, b, m in zip(bounds[:-1], bounds[1:], n)]
             yield pa.RecordBatch.from_arrays([*(x[f.name] for f in extra), pa.array(out, pa.float64())], schema=schema)
@@ -89,18 +103,18 @@ class QualityClassifier:
 
     def __init__(self, docs: DataFrame, labels: DataFrame):
         # Until both kinds are seen, every document is good.
-        self.weights, self.slope, self.shift, self.prior = np.zeros(2 * BUCKETS), 0.0, float(np.log(1e6)), 1.0
+        self.weights, self.slope, self.shift, self.prior = np.zeros(ALL), 0.0, float(np.log(1e6)), 1.0
         labels = clash_free(labels, "doc_id", "quality").where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
         marked = clash_free(docs, "doc_id", "text").join(small(labels, labels.count(), BROADCAST_LABELS), "doc_id")
         fold = F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0
         tally = marked.where(~fold).mapInArrow(_tallied, "bucket int, good long, bad long").groupBy("bucket").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).toPandas()
-        good, bad = np.zeros(2 * BUCKETS), np.zeros(2 * BUCKETS)
+        good, bad = np.zeros(ALL), np.zeros(ALL)
         good[tally["bucket"]], bad[tally["bucket"]] = tally["good"], tally["bad"]
-        for half in (slice(0, BUCKETS), slice(BUCKETS, None)):
+        for half in KINDS:
             # A bucket's ratio is shrunk toward 1 where its counts are few.
             g, b = good[half], bad[half]
             both = (g + b) / max(1.0, g.sum() + b.sum())
-            self.weights[half] = np.log((g + 1 + 20 * both) / (g.sum() + BUCKETS + 20)) - np.log((b + 1 + 20 * both) / (b.sum() + BUCKETS + 20))
+            self.weights[half] = np.log((g + 1 + 20 * both) / (g.sum() + len(g) + 20)) - np.log((b + 1 + 20 * both) / (b.sum() + len(b) + 20))
         seen = marked.where(fold).select("quality", "text").mapInArrow(_evidence(self.weights, [pa.field("quality", pa.int32())]), "quality int, evidence double").where("evidence is not null")
         low, high = -8.0, 8.0
         at = F.greatest(F.lit(0), F.least(F.lit(BINS - 1), F.floor((F.col("evidence") - low) / ((high - low) / BINS)))).alias("bin")
