@@ -14,7 +14,8 @@ can be shuffled:
    bound of summed minima, then, if that survives, on the sets themselves.  Most members of a
    group of near copies are joined here, with one comparison each.
 3. Leaves.  Where the other members of a subtree still belong to different components, a packed
-   R-tree over their points finds all pairs that the bound lets through; they are verified.
+   R-tree over their points finds all pairs of them that the bound lets through.  Points are a few
+   bytes; sets travel only for the distinct pairs that survive, to be verified.
 
 Nulls, empty texts: an empty set, linked with nothing; a null id: component null.  A text with
 fewer words than a shingle is one shingle.  Rows that share a doc_id are one document, linked if
@@ -30,11 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import Words, batch, chunks, clash_free, components, cut, mix, signed, small, texts_of, window_hash
+from waymark.llm.common import Words, batch, chunks, clash_free, components, cut, mix, runs, signed, small, texts_of, window_hash
 
 _U = np.uint64
-#: Coordinates of a point, shingles that a block of a subtree holds, rows that are broadcast at most.
-DIMS, BLOCK, BROADCAST_ROWS = 16, 1_000_000, 1_000_000
+#: Coordinates of a point, members that a block of a subtree holds, rows that are broadcast at most.
+DIMS, BLOCK, BROADCAST_ROWS = 32, 4096, 1_000_000
 
 
 def shingle_sets(texts: list[bytes], size: int) -> Iterator[np.ndarray]:
@@ -88,15 +89,16 @@ class Classes:
 
 
 def _digests(size: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("point", pa.binary())])
 
     def run(batches):
-        for x in batches:
-            n, d = [], np.zeros((x.num_rows, 2), np.uint64)
+        for x in runs(batches):
+            n, points, d = [], [], np.zeros((x.num_rows, 2), np.uint64)
             for i, s in enumerate(shingle_sets(texts_of(x["text"]), size)):
                 n.append(len(s))
+                points.append(counts(s).astype(np.int32).tobytes())
                 d[i] = mix(s).sum(dtype=np.uint64), mix(s ^ _U(0xA0761D6478BD642F)).sum(dtype=np.uint64)
-            yield batch(schema, x["doc_id"], n, signed(d[:, 0].copy()), signed(d[:, 1].copy()))
+            yield batch(schema, x["doc_id"], n, signed(d[:, 0].copy()), signed(d[:, 1].copy()), points)
 
     return run
 
@@ -106,7 +108,7 @@ def _filed(size: int, num: int, den: int):
 
     def run(batches):
         classes = Classes(num, den)
-        for x in batches:
+        for x in runs(batches):
             ids, sigs, whose, held = x["doc_id"].to_numpy(zero_copy_only=False).astype(np.int64), [], [], 0
             for i, s in enumerate(shingle_sets(texts_of(x["text"]), size)):
                 if len(s):
@@ -184,14 +186,14 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def _visits(size: int):
-    schema = pa.schema([("key", pa.int64()), ("salt", pa.int64()), ("kind", pa.int32()), ("doc_id", pa.int64()), ("component", pa.int64()), ("set", pa.binary())])
+    schema = pa.schema([("key", pa.int64()), ("salt", pa.int64()), ("kind", pa.int32()), ("doc_id", pa.int64()), ("set", pa.binary())])
 
     def run(batches):
-        for x in batches:
-            ids, comps, lists, rows, held = x["doc_id"].to_pylist(), x["component"].to_pylist(), x["visits"].to_pylist(), [], 0
+        for x in runs(batches):
+            ids, lists, rows, held = x["doc_id"].to_pylist(), x["visits"].to_pylist(), [], 0
             for i, s in enumerate(shingle_sets(texts_of(x["text"]), size)):
                 for v in lists[i]:
-                    rows.append((v["key"], v["salt"], v["kind"], ids[i], comps[i], s.tobytes()))
+                    rows.append((v["key"], v["salt"], v["kind"], ids[i], s.tobytes()))
                     held += 8 * len(s)
                 if held > 8 << 20:
                     yield batch(schema, *map(list, zip(*rows)))
@@ -229,41 +231,23 @@ def _entries(num: int, den: int):
 
 
 def _leaves(num: int, den: int, every: bool):
+    """Pairs, of different components unless `every`, that the bound lets through, of one block or two."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(table: pa.Table) -> pa.Table:
-        classes = Classes(num, den)
-        ids, sets = table["doc_id"].to_pylist(), [np.frombuffer(x, np.uint64) for x in table["set"].to_pylist()]
-        root = {c: c for c in table["component"].to_pylist()}
-
-        def top(c):
-            while root[c] != c:
-                root[c] = c = root[root[c]]
-            return c
-
-        comp, a, b = table["component"].to_pylist(), [], []
-        points = np.stack([counts(s) for s in sets])
-        tree = CountTree(points, classes)
-        for i, s in enumerate(sets):
-            for j in tree.near(points[i]):
-                if j <= i or ids[i] == ids[j] or not every and top(comp[i]) == top(comp[j]):
-                    continue
-                if classes.linked(_common(s, sets[j]), len(s), len(sets[j])):
-                    a.append(min(ids[i], ids[j]))
-                    b.append(max(ids[i], ids[j]))
-                    root[top(comp[i])] = top(comp[j])
-        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=schema)
+        ids, comp = table["doc_id"].to_numpy(), table["component"].to_numpy()
+        points = np.stack([np.frombuffer(x, np.int32) for x in table["point"].to_pylist()]).astype(np.int64)
+        tree, a, b = CountTree(points, Classes(num, den)), [], []
+        for i in range(len(ids)):
+            near = tree.near(points[i])
+            near = near[(ids[near] > ids[i]) & (every | (comp[near] != comp[i]))]
+            a.append(np.full(len(near), ids[i]))
+            b.append(ids[near])
+        return pa.table([np.concatenate(a), np.concatenate(b)], schema=schema)
 
     return run
 
 
-def _payload(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """The sets of wanted(doc_id, component, key, salt, kind), from the texts, one row for each visit."""
-    lists = cut(wanted.groupBy("doc_id", "component").agg(F.collect_list(F.struct("key", "salt", "kind")).alias("visits")))
-    joined = docs.join(small(lists, lists.count(), BROADCAST_ROWS), "doc_id").select("doc_id", "component", "visits", "text")
-    return joined.mapInArrow(_visits(size), "key long, salt long, kind int, doc_id long, component long, set binary")
-
-
 class NgramJaccardJoin:
     """The join of a corpus with itself: `nodes`, `links` and `classes()` after `run()`.
 
@@ -273,60 +257,66 @@ class NgramJaccardJoin:
     def __init__(self, size: int = 5, num: int = 8, den: int = 10):
         self.size, self.num, self.den = size, num, den
 
-    def directory(self, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """nodes(doc_id, n, rep) of all rows, members(sig, doc_id) of subtrees with several sets."""
+    def directory(self, docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """nodes(doc_id, n, rep) of all rows, points(doc_id, point) of the sets, members(sig, doc_id,
+        entry, members) of subtrees with several sets, named by their smallest documents."""
         docs = clash_free(docs, "doc_id", "text")
-        raw = docs.mapInArrow(_digests(self.size), "doc_id long, n long, d1 long, d2 long")
-        raw = cut(raw)
+        raw = cut(docs.mapInArrow(_digests(self.size), "doc_id long, n long, d1 long, d2 long, point binary"))
         reps = raw.where("n > 0 and doc_id is not null").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"))
-        nodes = cut(raw.join(reps, ["n", "d1", "d2"], "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep")))
+        nodes = cut(raw.drop("point").join(reps, ["n", "d1", "d2"], "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep")))
         filed = docs.where("doc_id is not null").mapInArrow(_filed(self.size, self.num, self.den), "sig long, doc_id long")
-        met = filed.repartition("sig").sortWithinPartitions("sig").mapInArrow(_shared, "sig long, doc_id long")
+        met = cut(filed.repartition("sig").sortWithinPartitions("sig").mapInArrow(_shared, "sig long, doc_id long"))
         twins = nodes.where("n > 0 and rep is not null").select("doc_id", "rep").distinct()
-        met = cut(met)
         own = met.join(twins, "doc_id").select("sig", F.col("rep").alias("doc_id")).distinct()
         span = own.groupBy("sig").agg(F.min("doc_id").alias("entry"), F.max("doc_id").alias("last"), F.count("*").alias("members")).where("entry < last")
-        return nodes, cut(own.join(span.drop("last"), "sig"))
+        return nodes, raw.where("n > 0").select("doc_id", "point").distinct(), cut(own.join(span.drop("last"), "sig"))
+
+    def _candidates(self, members: DataFrame, points: DataFrame, every: bool) -> DataFrame:
+        """Distinct pairs (a, b) of members(sig, doc_id, component) that a subtree's R-trees let through.
+
+        A subtree of more than BLOCK members is dealt out in blocks, each pair of blocks a task's group.
+        """
+        blocks = members.groupBy("sig").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+        rows = members.join(blocks, "sig").withColumn("own", F.pmod(F.xxhash64("doc_id", "sig"), "blocks"))
+        cell = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda other: F.least(other, F.col("own")) * F.col("blocks") + F.greatest(other, F.col("own")))
+        rows = rows.select("sig", "doc_id", "component", F.explode(cell).alias("cell")).join(points, "doc_id")
+        return rows.groupBy("sig", "cell").applyInArrow(_leaves(self.num, self.den, every), "a long, b long").distinct()
+
+    def _verified(self, text: DataFrame, pairs: DataFrame) -> DataFrame:
+        """The links among pairs(a, b).  Sets meet at a, of which each 4096 partners get a copy."""
+        salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / 4096).alias("salts"))
+        partners = pairs.join(salts, "a").select(F.col("b").alias("doc_id"), F.col("a").alias("key"), F.pmod(F.xxhash64("b"), "salts").alias("salt"), F.lit(1).alias("kind"))
+        heads = salts.select(F.col("a").alias("doc_id"), F.col("a").alias("key"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"))
+        lists = cut(partners.union(heads).groupBy("doc_id").agg(F.collect_list(F.struct("key", "salt", "kind")).alias("visits")))
+        sets = text.join(small(lists, lists.count(), BROADCAST_ROWS), "doc_id").select("doc_id", "visits", "text").mapInArrow(_visits(self.size), "key long, salt long, kind int, doc_id long, set binary")
+        met = sets.repartition("key", "salt").sortWithinPartitions("key", "salt", "kind")
+        return cut(met.mapInArrow(_entries(self.num, self.den), "a long, b long").distinct())
 
     def run(self, docs: DataFrame) -> DataFrame:
         """(doc_id, n_shingles, component_id) of every row of docs(doc_id, text)."""
-        nodes, members = self.directory(docs)
+        nodes, points, members = self.directory(docs)
         text = clash_free(docs, "doc_id", "text").where("doc_id is not null")
-        pairs = members.where("entry < doc_id").select(F.col("entry").alias("key"), "doc_id").distinct()
-        salts = pairs.groupBy("key").agg(F.ceil(F.count("*") / 4096).alias("salts"))
-        there = pairs.join(salts, "key").select("doc_id", F.lit(0).cast("long").alias("component"), "key", F.pmod(F.xxhash64("doc_id"), "salts").alias("salt"), F.lit(1).alias("kind"))
-        heads = salts.select(F.col("key").alias("doc_id"), F.lit(0).cast("long").alias("component"), "key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"))
-        visits = _payload(text, there.union(heads), self.size).repartition("key", "salt").sortWithinPartitions("key", "salt", "kind")
+        entries = cut(members.where("entry < doc_id").select(F.col("entry").alias("a"), F.col("doc_id").alias("b")).distinct())
         same = nodes.where("rep < doc_id").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-        links = cut(visits.mapInArrow(_entries(self.num, self.den), "a long, b long"))
-        found = cut(components(links.union(same)))
+        links = self._verified(text, entries).union(same)
+        found = cut(components(links))
 
         rest = members.where("entry < doc_id and members > 2").join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left")
         rest = rest.select("sig", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-        sizes = nodes.where("rep = doc_id").select("doc_id", "n").distinct()
-        open_ = rest.join(sizes, "doc_id").groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.sum("n").alias("total"))
-        open_ = open_.where("x < y").select("sig", F.ceil(F.col("total") / BLOCK).alias("blocks"))
-        rest = cut(rest.join(open_, "sig"))
-        if rest.count():
-            leaves = self._leaves_of(text, rest, every=False)
-            found = cut(components(links.union(same).union(cut(leaves))))
+        open_ = rest.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("sig")
+        pairs = cut(self._candidates(rest.join(open_, "sig"), points, every=False).join(entries, ["a", "b"], "left_anti"))
+        if not pairs.isEmpty():
+            more = self._verified(text, pairs)
+            if not more.isEmpty():
+                found = cut(components(links.union(more)))
         out = nodes.join(found, nodes["doc_id"] == found["id"], "left")
         return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
-    def _leaves_of(self, text: DataFrame, rest: DataFrame, every: bool) -> DataFrame:
-        """Pairs of blocks meet in tasks of bounded size; a subtree of one block is one task."""
-        own = F.pmod(F.xxhash64("doc_id", "sig"), "blocks")
-        cells = rest.withColumn("own", own).select("sig", "doc_id", "component", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda other: F.least(other, F.col("own")) * F.col("blocks") + F.greatest(other, F.col("own")))).alias("salt"))
-        wanted = cells.select("doc_id", "component", F.col("sig").alias("key"), "salt", F.lit(1).alias("kind"))
-        return _payload(text, wanted, self.size).groupBy("key", "salt").applyInArrow(_leaves(self.num, self.den, every), "a long, b long").distinct()
-
     def links(self, docs: DataFrame) -> DataFrame:
         """All links (a, b), a < b, between the smallest documents of distinct sets."""
-        nodes, members = self.directory(docs)
-        sizes = nodes.where("rep = doc_id").select("doc_id", "n").distinct()
-        total = members.join(sizes, "doc_id").groupBy("sig").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks"))
-        rest = members.join(total, "sig").select("sig", "doc_id", F.col("doc_id").alias("component"), "blocks")
-        return self._leaves_of(clash_free(docs, "doc_id", "text").where("doc_id is not null"), rest, every=True)
+        _, points, members = self.directory(docs)
+        pairs = cut(self._candidates(members.select("sig", "doc_id", F.col("doc_id").alias("component")), points, every=True))
+        return self._verified(clash_free(docs, "doc_id", "text").where("doc_id is not null"), pairs)
 
 
 def one_of_each(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10) -> DataFrame:
