@@ -4,7 +4,7 @@ Base rules count words, symbols, repeated lines and repeated 5-word windows of a
 method: lines are normalised (A-Z lowered, digits to 0, white space to one space), hashed, and
 the distinct documents (distinct texts) of each host that have them are counted; a line in more
 than max(MIN_DOCS, SHARE of the host's distinct texts) is boilerplate and removed, and a document
-that keeps fewer than MIN_WORDS words or less than LEFT of its words is rejected as depleted.
+that keeps less than LEFT of its words is rejected as depleted.
 Copies of one text count as one document, so copying does not make its lines boilerplate.
 
 Null texts count as empty, a null host is a host; repeated rows are judged one by one.  Counts
@@ -72,5 +72,5 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     out = marked.groupBy("row").agg(*[F.first(c).alias(c) for c in stats], F.sum(F.when(F.col("often").isNotNull(), F.col("words")).otherwise(0)).cast("long").alias("n_line_words"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEATS * F.col("n_words"))
     left = F.col("n_words") - F.col("n_line_words")
-    out = out.withColumn("base_failed", failed).withColumn("kept", ~failed & (left >= MIN_WORDS) & (left >= LEFT * F.col("n_words")))
+    out = out.withColumn("base_failed", failed).withColumn("kept", ~failed & (left >= LEFT * F.col("n_words")))
     return out.drop("row")

@@ -83,7 +83,7 @@ counts AS (SELECT t.r, doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(re
     CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, coalesce(gone.n, 0) AS n_gone
   FROM toks t LEFT JOIN rep USING (r) LEFT JOIN gone USING (r))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
-  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND n_words - n_gone >= 10 AND n_words - n_gone >= 0.3 * n_words AS kept FROM counts
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND n_words - n_gone >= 0.3 * n_words AS kept FROM counts
 """
 
 

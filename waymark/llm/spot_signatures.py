@@ -1,15 +1,16 @@
 """Document fingerprints from spot signatures, in DataFrame functions only.
 
-Common words are anchors; a signature is the chain of at most CHAIN content words that follows a
-run of anchors up to the next anchor.  A document's fingerprint is the sorted set of its
+Common words are anchors, and so is a text's start; the content words that follow an anchor up to
+the next are a chain, cut after every CHAIN words; each chain is a signature.  A document's fingerprint is the sorted set of its
 signatures' 32-bit hashes, in decimal, joined by commas: the set itself, so any two
 fingerprints can be compared exactly.  Two sets are compared by Jaccard similarity; the ratio of
 their lengths bounds it from above, so pairs below a floor are pruned by length alone, and a join
 partitions sets by length.
 
-Words are runs of letters and digits, in lower case.  A text without any chain behind an anchor
-takes its words as chains; a text without words (or null) has the empty fingerprint, which is
-like another empty one only.  Equal texts have equal fingerprints.
+Words are in lower case, between ASCII's characters that are not alphanumeric, Latin-1 signs,
+and general and CJK punctuation.  A text of anchors alone takes them as one chain; a text without
+words (or null) has the empty fingerprint, which is like another empty one only.  Equal texts
+have equal fingerprints.
 """
 
 from __future__ import annotations
@@ -34,6 +35,10 @@ al como con del el las lo los más no para por se su una y
 """.split()
 
 
+#: What stands between words.
+GAP = r"[\x00-/:-@\[-`{-\u00A9\u00AB-\u00B4\u00B6-\u00B9\u00BB-\u00BF\u2000-\u206F\u3000-\u303F\uFF00-\uFF0F]+"
+
+
 def _anchors() -> str:
     """Alternatives grouped by their first letter, so that few are tried at a word."""
     by = {}
@@ -44,15 +49,14 @@ def _anchors() -> str:
 
 def signatures(text: Column) -> Column:
     """Sorted distinct 32-bit hashes of the text's chains."""
-    inner = F.btrim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", "  "))
+    inner = F.btrim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), GAP, "  "))
     # Every word stands between spaces of its own, so each anchor is one match, without any repetition
     # in the pattern that the regular-expression engine would recurse into.
-    plain = F.concat(F.lit(" "), inner, F.lit(" "))
-    chains = F.split(F.regexp_replace(plain, f" (?:{_anchors()}) ", "\x01"), "\x01+", -1)
-    behind = F.slice(chains, 2, F.greatest(F.size(chains) - 1, F.lit(0)))
-    hashes = F.transform(F.filter(behind, lambda c: c != ""), lambda c: F.hash(F.substring_index(F.btrim(c), "  ", CHAIN)))
-    words = F.transform(F.filter(F.split(inner, "  "), lambda c: c != ""), lambda c: F.hash(c))
-    return F.when(F.size(hashes) > 0, F.array_sort(F.array_distinct(hashes))).otherwise(F.array_sort(F.array_distinct(words)))
+    marked = F.regexp_replace(F.concat(F.lit(" "), inner, F.lit(" ")), f" (?:{_anchors()}) ", "\x01")
+    marked = F.regexp_replace(marked, "  ".join([r"([^ \x01]+"] + [r"[^ \x01]+"] * (CHAIN - 1)) + ")  ", "$1\x01")
+    chains = F.filter(F.transform(F.split(marked, "\x01+", -1), lambda c: F.btrim(c)), lambda c: c != "")
+    chains = F.when((F.size(chains) == 0) & (inner != ""), F.array(inner)).otherwise(chains)
+    return F.array_sort(F.array_distinct(F.transform(chains, lambda c: F.hash(c))))
 
 
 def fingerprint(sigs: Column) -> Column:
