@@ -89,6 +89,35 @@ def test_article_of_a_page():
     assert mincut_html.extract(page).split("\n\n") == ["Title here", "This is a first paragraph & it has some text in it, enough to be article.", "Short.", "one item", "two", "A quote that goes on.", "Last paragraph of this text, which is fine."]
 
 
+LONG = "This paragraph has enough words to be taken for a part of an article by any measure."
+
+
+@pytest.mark.parametrize(
+    "body",
+    [
+        "<div class='wrapper has-sidebar'><main>{}</main><div id=sidebar><p>" + LONG + "</p></div></div>",
+        "<div id=breadcrumbs><a href=/>Home</a> &gt; <a href=/x>X</a></div><div class='post hentry'>{}</div><ol class='comment-list'><li><article class=comment><p>" + LONG + "</p></article></li></ol>",
+        "<div role=alert><p>" + LONG + "</p></div><div class='post-content'>{}<aside class=related><p>" + LONG + "</p></aside></div>",
+        "<ul><li><a href=1>One</a><li><a href=2>Two</a></ul><div>{}</div><div>&copy; 2024 Some site</div>",
+        "<article><header class='entry-header'></header>{}<footer><p>By someone</p></footer></article><div class=newsletterSignup><p>" + LONG + "</p></div>",
+        "<main>{}<p class='advertisement'>" + LONG + "</p></main><div style='display: none'>" + LONG + "</div><noscript><p>" + LONG + "</p></noscript><template><p>no</p></template>",
+        "<form><p>" + LONG + "</p></form><section id='content'>{}</section><section class='user-comments'><h2>2 comments</h2><p>" + LONG + "</p></section>",
+    ],
+)
+def test_furniture_goes(body):
+    inner = f"<h1>A title</h1><p>{LONG}<p>Short one.</p><div>{LONG} <a href=x>With</a> a <i>link</i>.<br>And more.</div><ul><li>An item<li>Another</ul><pre>a  b</pre>"
+    got = mincut_html.extract("<html><head><title>t</title></head><body>" + body.replace("{}", inner) + "</body></html>").split("\n\n")
+    assert got == ["A title", LONG, "Short one.", LONG + " With a link. And more.", "An item", "Another", "a b"]
+
+
+def test_time_grows_with_the_length():
+    import time
+
+    page = "<article>" + "<p>some <b>bold</b> text</p>" * 2000 + "<p>" + "<i>x</i> " * 30000 + "</p></article>"
+    began = time.time()
+    assert len(mincut_html.extract(page)) > 40000 and time.time() - began < 10
+
+
 @pytest.mark.parametrize("page", [None, "", "   ", "<", "<p", "<!-- x", "</p></div>", "<script>a", "<div>" * 3000 + "x", "<p>a" * 2000, "&#0;&#x110000;&bogus;", "<p title='a>b'>"])
 def test_broken_pages_do_not_crash(page):
     assert isinstance(mincut_html.extract(page), str)

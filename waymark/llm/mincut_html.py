@@ -44,12 +44,14 @@ FURNITURE = frozenset("""nav navbar navigation menu menubar submenu breadcrumb b
     side aside rail widget widgets banner contentinfo complementary ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion promoted
     cookie cookies consent gdpr notice alert warning popup modal overlay dialog newsletter subscribe subscription signup login register
     comment comments commentlist reply replies respond disqus discussion share sharing social follow related recommended recommendations
-    trending popular pagination pager paging tags tagcloud copyright legal disclaimer search form skip byline meta hidden""".split())
+    trending popular teaser notices notification announcement pagination pager paging tags tagcloud copyright legal disclaimer search form skip byline meta hidden""".split())
+#: Those of them that hold for the article's elements too.
+ASIDE = frozenset("ad ads advert advertisement sponsored promo comment comments reply related teaser".split())
 WITH = frozenset("has no with without".split())
 ARTICLE = frozenset("article main content post entry story body text prose".split())
 FURNITURE_ELEMENT = {"nav": 9.0, "footer": 8.0, "aside": 8.0, "form": 9.0, "menu": 8.0, "dialog": 9.0, "button": 9.0, "fieldset": 8.0, "header": 5.0, "address": 1.0, "legend": 4.0}
 ARTICLE_ELEMENT = {"article": 5.0, "main": 4.0}
-CONTENT_BLOCK = {"p": 1.0, "h1": 1.5, "h2": 1.0, "h3": 0.8, "h4": 0.8, "h5": 0.5, "h6": 0.5, "blockquote": 1.0, "pre": 1.0, "td": 0.2, "li": 0.0, "figcaption": 0.5}
+CONTENT_BLOCK = {"p": 1.0, "h1": 1.5, "h2": 1.0, "h3": 0.8, "h4": 0.8, "h5": 0.5, "h6": 0.5, "blockquote": 1.0, "pre": 1.0, "td": 0.2, "li": 0.2, "figcaption": 0.5}
 ADJACENT, SIBLING = 0.6, 0.9
 
 
@@ -67,7 +69,7 @@ class _Element:
                 hidden |= key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value.lower()) is not None
         article = name in ARTICLE_ELEMENT or bool(words & ARTICLE)
         within = article or bool(parent and parent.inside)
-        odd = words & FURNITURE if name not in ("html", "body", "article", "main") and not words & WITH else set()
+        odd = words & (ASIDE if name in ("article", "main") else FURNITURE) if name not in ("html", "body") and not words & WITH else set()
         if odd == {"header"} or odd == {"meta"}:
             odd = odd if not within else set()
         if name in FURNITURE_ELEMENT:
@@ -94,19 +96,19 @@ class Block:
         n = len(self.text)
         share = min(1.0, self.linked / n)
         e = -0.5 + self.cue + CONTENT_BLOCK.get(self.name, -0.3)
-        e += -3.0 * share + (1.2 if n > 80 else 0.5 if n > 30 else -0.2)
+        e += -3.0 * share + (1.2 if n > 80 else 0.5 if n > 30 else 0.0)
         e += 0.4 * (self.text[-1] in ".!?:;»”\"") - 4.0 * (self.text[:1] == "©" or self.text[:9].lower() == "copyright")
         return e
 
 
 def blocks(page: str) -> list[Block]:
     root = _Element("", "", None)
-    stack, out, text, linked, links = [root], [], [], 0, 0
+    stack, out, text, linked, links, blank = [root], [], [], 0, 0, True
     holder, at, page = root, 0, page.replace("\x00", "")
     lower = None
 
     def flush() -> None:
-        nonlocal text, linked
+        nonlocal text, linked, blank
         if text:
             whole = " ".join(html.unescape("".join(text)).split())
             if whole:
@@ -115,13 +117,14 @@ def blocks(page: str) -> list[Block]:
                     near = near.parent
                 out.append(Block(whole, linked, near, near.name))
             text = []
-        linked = 0
+        linked, blank = 0, True
 
     def say(raw: str) -> None:
-        nonlocal linked, holder
+        nonlocal linked, holder, blank
         if raw and not stack[-1].silent:
-            if not text or not "".join(text).strip():
+            if blank:
                 holder = stack[-1]
+                blank = not raw.strip()
             text.append(raw)
             if links:
                 linked += len(raw.strip())
