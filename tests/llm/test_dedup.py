@@ -3,6 +3,7 @@ import random
 
 import pytest
 
+from waymark.llm import substring_dedup
 from waymark.llm.substring_dedup import SubstringDedup, without_repeats
 
 from .brute import repeats
@@ -22,8 +23,9 @@ def corpus(seed):
     return rows
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_equals_brute_force(spark, seed):
+@pytest.mark.parametrize("seed, held", [(1, 1_000_000), (2, 300)])
+def test_equals_brute_force(spark, seed, held, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "HELD", held)
     rows = corpus(seed)
     df = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, `group` int, window string")
     got = SubstringDedup().run(df).collect()

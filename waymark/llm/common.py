@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 #: Regular expression of a word, for Spark's and DuckDB's engines alike.
 WORD = r"[^\x20\x09-\x0D]+"
-CHUNK = 1 << 20
+CHUNK = 1 << 19
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 _U = np.uint64
 _MASK = (1 << 64) - 1
@@ -142,7 +143,14 @@ def small(df: DataFrame, rows: int, most: int) -> DataFrame:
 
 
 def clash_free(df: DataFrame, *needed: str) -> DataFrame:
-    """Only the needed columns, so that further ones with clashing names do no harm."""
+    """Only the needed columns, so that further ones with clashing names do no harm.
+
+    Where the session does not say otherwise, Arrow batches for Python are held to 2000 rows:
+    beside the JVM's heap, an executor needs memory for few texts at a time.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_ROWS, "0") == "10000":
+        conf.set(BATCH_ROWS, "2000")
     return df.select(*[df[c] for c in needed])
 
 

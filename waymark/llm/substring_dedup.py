@@ -8,10 +8,12 @@ nodes at consecutive suffixes of one document are its maximal repeats.
    its window (equal windows, equal groups; about one group for every 17 words).  Each
    document's group names are counted over all documents; a group of one document has no repeat
    and its subtree is never built.
-2. Subtrees.  Suffixes of the groups left are sorted by (group, window, document): equal windows,
-   the leaves below one node, lie together, and stream by, first document first, with one node's
-   state in memory however many leaves it has.  So groups need not fit in memory, and a large
-   one is split by the whole window where a tree would need a longer prefix.
+2. Subtrees.  A task first joins equal windows of its own documents: all leaves of a node but the
+   first document's are marked at once, so however common a passage is, a task sends each of its
+   windows on at most once for every HELD suffixes.  The rest are sorted by (group, window,
+   document): equal windows, the leaves below one node, lie together, and stream by, first document
+   first, with one node's state in memory.  So groups need not fit in memory; the whole window
+   splits a large one where a tree would need a longer prefix.
 3. Removal.  A leaf of a later document than its node's first marks its window's words; marks
    come back as intervals of starts, are gathered per document (bounded by its length) and
    applied to the text.
@@ -37,6 +39,8 @@ _U = np.uint64
 WINDOW, GRAM = 50, 19
 #: Group names or intervals that are broadcast at most; beyond, texts are shuffled to them.
 BROADCAST_VALUES = 4_000_000
+#: Suffixes that a task joins before it sends them on.
+HELD = 1_000_000
 
 
 def _least(x: np.ndarray, k: int) -> np.ndarray:
@@ -109,14 +113,42 @@ def _repeated(batches):
         yield batch(schema, d, g)
 
 
-def _grown(window: int, gram: int):
-    schema = pa.schema([("group", pa.int64()), ("window", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int64())])
+_LEAF = pa.schema([("group", pa.int64()), ("window", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int64()), ("last", pa.int64())])
+
+
+def _intervals(doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of consecutive places of one document: (document, first, last)."""
+    order = np.lexsort((at, doc))
+    doc, at = doc[order], at[order]
+    start = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + 1)])) if len(doc) else np.empty(0, np.intp)
+    end = np.append(start[1:], len(doc)) - 1 if len(doc) else start
+    return doc[start], at[start], at[end]
+
 
+def _joined(held: list[tuple]):
+    """Leaves of each node's first document, with last = -1; marked intervals of the others."""
+    group, window, doc, at = (np.concatenate(c) for c in zip(*held))
+    order = np.lexsort((doc, window, group))
+    group, window, doc, at = group[order], window[order], doc[order], at[order]
+    node = np.concatenate([[True], (group[1:] != group[:-1]) | (window[1:] != window[:-1])])
+    owner = doc[np.maximum.accumulate(np.where(node, np.arange(len(doc)), 0))]
+    first, later = doc == owner, doc > owner
+    for i in range(0, int(first.sum()), 50_000):
+        part = slice(i, i + 50_000)
+        yield batch(_LEAF, group[first][part], window[first][part], doc[first][part], at[first][part], np.full(len(doc[first][part]), -1))
+    doc, start, end = _intervals(doc[later], at[later])
+    if len(doc):
+        # Marks only travel along; their documents deal them out.
+        yield batch(_LEAF, signed(mix(doc.astype(np.uint64))), np.zeros(len(doc), np.int64), doc, start, end)
+
+
+def _grown(window: int, gram: int):
     def run(batches):
+        out, many = [], 0
         for x in runs(batches):
             ids, names = x["doc_id"].to_pylist(), x["groups"]
             for first, part in chunks(texts_of(x["text"])):
-                s, out = Suffixes(part, window, gram), []
+                s = Suffixes(part, window, gram)
                 for i in range(len(part)):
                     span = s.span(i)
                     wanted = names[first + i].values.to_numpy()
@@ -124,8 +156,12 @@ def _grown(window: int, gram: int):
                     hit = np.flatnonzero(np.isin(own, wanted))
                     if len(hit):
                         out.append((own[hit], signed(s.windows[span])[hit], np.full(len(hit), ids[first + i]), hit + (_tag(s.digests[i]) << 32)))
-                if out:
-                    yield batch(schema, *(np.concatenate(c) for c in zip(*out)))
+                        many += len(hit)
+            if many >= HELD:
+                yield from _joined(out)
+                out, many = [], 0
+        if many:
+            yield from _joined(out)
 
     return run
 
@@ -135,21 +171,20 @@ def _nodes(batches):
     schema = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("first", pa.int64()), ("last", pa.int64())])
     node, owner = None, 0
     for x in batches:
-        g, w, d, at = (x[c].to_numpy() for c in ("group", "window", "doc_id", "at"))
-        if not len(g):
-            continue
-        new = np.concatenate([[(g[0], w[0]) != node], (g[1:] != g[:-1]) | (w[1:] != w[:-1])])
-        lead = np.maximum.accumulate(np.where(new, np.arange(len(g)), -1))
-        owners = np.where(lead >= 0, d[lead], owner)
-        node, owner = (g[-1], w[-1]), owners[-1]
-        late = d > owners
-        d, at = d[late], at[late]
-        order = np.lexsort((at, d))
-        d, at = d[order], at[order]
+        g, w, d, at, last = (x[c].to_numpy() for c in ("group", "window", "doc_id", "at", "last"))
+        marks = last >= 0
+        found = [(d[marks], at[marks], last[marks])]
+        g, w, d, at = (c[~marks] for c in (g, w, d, at))
+        if len(g):
+            new = np.concatenate([[(g[0], w[0]) != node], (g[1:] != g[:-1]) | (w[1:] != w[:-1])])
+            lead = np.maximum.accumulate(np.where(new, np.arange(len(g)), -1))
+            owners = np.where(lead >= 0, d[lead], owner)
+            node, owner = (g[-1], w[-1]), owners[-1]
+            late = d > owners
+            found.append(_intervals(d[late], at[late]))
+        d, first, last = (np.concatenate(c) for c in zip(*found))
         if len(d):
-            start = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (at[1:] != at[:-1] + 1)]))
-            end = np.append(start[1:], len(d)) - 1
-            yield batch(schema, d[start], at[start] >> 32, at[start] & 0xFFFFFFFF, at[end] & 0xFFFFFFFF)
+            yield batch(schema, d, first >> 32, first & 0xFFFFFFFF, last & 0xFFFFFFFF)
 
 
 def _applied(window: int, gram: int):
@@ -199,7 +234,7 @@ class SubstringDedup:
         shared = spread.repartition("group").sortWithinPartitions("group").mapInArrow(_repeated, "doc_id long, group long")
         wanted = cut(shared.groupBy("doc_id").agg(F.collect_set("group").alias("groups")))
         values = wanted.agg(F.sum(F.size("groups"))).first()[0] or 0
-        leaves = docs.join(small(wanted, values, BROADCAST_VALUES), "doc_id").mapInArrow(_grown(self.window, self.gram), "group long, window long, doc_id long, at long")
+        leaves = docs.join(small(wanted, values, BROADCAST_VALUES), "doc_id").mapInArrow(_grown(self.window, self.gram), "group long, window long, doc_id long, at long, last long")
         found = leaves.repartition("group").sortWithinPartitions("group", "window", "doc_id").mapInArrow(_nodes, "doc_id long, tag long, first long, last long")
         return cut(found.union(copies).groupBy("doc_id").agg(F.collect_list(F.struct("tag", "first", "last")).alias("marks")))
 
