@@ -14,13 +14,14 @@ from pyspark.sql import functions as F
 
 from waymark.functions.text import fold
 from waymark.operators.features import is_indexed
-from waymark.session import materialise
+from waymark.session import materialise, small
 
 THRESHOLD, MAIN = 4096, ""
 #: Languages whose names every search sees.
 SHARED = ("", "iata", "icao")
 #: Prefix lengths that one pass counts.
 LEVELS = 4
+BROADCAST_ROWS = 1_000_000
 
 
 def name_rows(places: DataFrame) -> DataFrame:
@@ -65,12 +66,16 @@ def split_prefixes(entries: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 
 
 def with_depth(entries: DataFrame, split: DataFrame) -> DataFrame:
-    """entries with `depth`.  Split prefixes are closed under prefixes, so their number is the depth."""
-    deepest = split.agg(F.max(F.length("prefix"))).first()[0]
+    """entries with `depth`.  Split prefixes are closed under prefixes, so their number is the depth.
+
+    There are at most (characters of all names / threshold) split prefixes; counted and found few
+    enough they are broadcast level by level, and entries are not shuffled.
+    """
+    deepest, rows = split.agg(F.max(F.length("prefix")), F.count("*")).first()
     out = entries.withColumn("depth", F.lit(0))
     for k in range(0, -1 if deepest is None else deepest + 1):
         level = split.where(F.length("prefix") == k).select("tree", F.col("prefix").alias("_p"), F.lit(1).alias("_hit"))
-        out = out.withColumn("_p", F.substring("folded", F.lit(1), F.lit(k))).join(level, ["tree", "_p"], "left").drop("_p")
+        out = out.withColumn("_p", F.substring("folded", F.lit(1), F.lit(k))).join(small(level, rows, BROADCAST_ROWS), ["tree", "_p"], "left").drop("_p")
         out = out.withColumn("depth", F.when((F.col("_hit") == 1) & (F.col("n") > k), F.lit(k + 1)).otherwise(F.col("depth"))).drop("_hit")
     return out
 

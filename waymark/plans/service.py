@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from waymark.operators import render
 from waymark.operators.features import is_area
-from waymark.operators.lookup import get, respond
+from waymark.operators.lookup import by_ids, get, respond
 from waymark.operators.proximity import nearest, nearest_batch
 from waymark.operators.search import keep_area, keep_country, search_batch, search_ids
 
@@ -33,11 +33,18 @@ class Gazetteer:
 
     def __init__(self, tables: dict[str, DataFrame]):
         self.places, self.index = tables["places"], tables["name_index"]
+        self.points = tables.get("points", self.places)
         self.languages = {r["lang"] for r in tables["languages"].select("lang").collect()}
 
     def language(self, asked: str | None) -> str:
         return asked if asked in self.languages else DEFAULT_LANGUAGE
 
+    def _rows(self, hits: DataFrame) -> DataFrame:
+        """Places of a request's hits, at most its count of rows: they are fetched, so their ids reach the scan."""
+        got = hits.collect()
+        local = self.places.sparkSession.createDataFrame(got, hits.schema)
+        return by_ids(self.places, [r["id"] for r in got]).join(F.broadcast(local), "id")
+
     def search(self, name: str, language: str | None = None, country_code: str | None = None, count: int | None = None, filter_before_limit: bool = False) -> DataFrame:
         """Response rows with `rank`, best first.
 
@@ -49,20 +56,20 @@ class Gazetteer:
             parts = name.split(",")
             asked, area = parts[0].strip(), parts[1].strip()
         hits = search_ids(self.index, asked, language, count if not filter_before_limit else 1 << 30) if len(name) >= 2 else self.index.select("id", F.lit(0.0).cast("float").alias("priority")).limit(0)
-        rows = self.places.join(hits, "id") if filter_before_limit else self.places.join(F.broadcast(hits), "id")
+        rows = self.places.join(hits, "id") if filter_before_limit else self._rows(hits)
         rows = keep_country(rows, country_code)
         if len(area) > 1:
             rows = keep_area(rows, self.areas(area, language))
         if filter_before_limit:
             rows = rows.orderBy(F.desc("priority"), "id").limit(count)
-        answer = respond(rows, self.places, language, keep=("priority",))
+        answer = respond(rows, self.places, language, keep=("priority",), few=True)
         ranked = answer.orderBy(F.desc("priority"), "id").withColumn("rank", F.monotonically_increasing_id())
         return ranked.drop("priority")
 
     def areas(self, area: str, language: str) -> DataFrame:
         """(area_id) of the ten best hits for an area's name that are areas at all."""
         best = search_ids(self.index, area, language, AREA_COUNT)
-        return self.places.join(F.broadcast(best), "id").where(is_area(F.col("feature_code"))).select(F.col("id").alias("area_id"))
+        return self._rows(best).where(is_area(F.col("feature_code"))).select(F.col("id").alias("area_id"))
 
     def get(self, id_: int, language: str | None = None) -> DataFrame:
         row = get(self.places, id_, self.language(language))
@@ -71,15 +78,14 @@ class Gazetteer:
         return row
 
     def proximity(self, latitude: float, longitude: float, count: int | None = None, max_km: float = 100.0, country_code: str | None = None, language: str | None = None) -> DataFrame:
-        near = nearest(self.places, latitude, longitude, checked_count(count), max_km)
-        rows = keep_country(self.places.join(F.broadcast(near), "id"), country_code)
-        return respond(rows, self.places, self.language(language), keep=("distance",)).orderBy("distance", F.desc("id"))
+        rows = keep_country(self._rows(nearest(self.points, latitude, longitude, checked_count(count), max_km)), country_code)
+        return respond(rows, self.places, self.language(language), keep=("distance",), few=True).orderBy("distance", F.desc("id"))
 
     def search_many(self, requests: DataFrame, count: int | None = None) -> DataFrame:
         return search_batch(self.index, requests, checked_count(count))
 
     def proximity_many(self, points: DataFrame, count: int | None = None, max_km: float = 100.0) -> DataFrame:
-        return nearest_batch(self.places, points, checked_count(count), max_km)
+        return nearest_batch(self.points, points, checked_count(count), max_km)
 
     def answer(self, rows: DataFrame, format: str = "json") -> str | bytes:
         """A request's rows (at most its count) as one document."""

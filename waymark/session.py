@@ -9,6 +9,7 @@ import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: What the engine relies on; a cluster's own settings stay where they are set.
 SETTINGS = {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true", "spark.sql.adaptive.coalescePartitions.enabled": "true"}
@@ -22,6 +23,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def small(df: DataFrame, rows: int, most: int) -> DataFrame:
+    """Marks `df` for broadcast only if its counted rows stay at `most`; else the plan shuffles or AQE decides."""
+    return F.broadcast(df) if rows <= most else df
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Runs `df` once and cuts its lineage with a reliable checkpoint.
 
