@@ -20,13 +20,17 @@ def priority(m, folded_query: Column) -> Column:
     return F.when(F.col("folded") == folded_query, F.lit(FACTOR).cast("float") + F.col("ranking")).otherwise(part + F.col("ranking"))
 
 
+def best_of_each(scored: DataFrame, group: list[str] = (), id_: str = "id", by: str = "priority") -> DataFrame:
+    return scored.groupBy(*group, id_).agg(F.max(by).alias(by)).where(F.col(by) > 0)
+
+
 def top_k(scored: DataFrame, k: int, group: list[str] = (), id_: str = "id", by: str = "priority") -> DataFrame:
-    """The k best ids by priority, then id; one row an id, with its best priority, which must be positive.
+    """The k best ids by priority, then id; one row an id, with its best priority; both must be positive.
 
     Without groups this is a partial top-k in each task; with groups, a limit on ranks before
     and after the shuffle, so no group is gathered.
     """
-    best = scored.groupBy(*group, id_).agg(F.max(by).alias(by)).where(F.col(by) > 0)
+    best = best_of_each(scored.where(F.col(id_) > 0), group, id_, by)
     if not group:
         return best.orderBy(F.desc(by), id_).limit(k)
     rank = F.row_number().over(W.partitionBy(*group).orderBy(F.desc(by), id_))
@@ -43,9 +47,13 @@ def matches(index: DataFrame, query: str, trees: list[str], exact: bool | None =
     return rows.select("id", priority(F.lit(len(q)), F.lit(q)).alias("priority"))
 
 
+def trees_of(language: str) -> list[str]:
+    return sorted({"", language})
+
+
 def search_ids(index: DataFrame, query: str, language: str, count: int) -> DataFrame:
     """(id, priority): the main tree and the language's, best first."""
-    return top_k(matches(index, query, sorted({"", language})), count)
+    return top_k(matches(index, query, trees_of(language)), count)
 
 
 def search_batch(index: DataFrame, requests: DataFrame, count: int = 10) -> DataFrame:

@@ -11,7 +11,7 @@ from waymark.operators import render
 from waymark.operators.features import is_area
 from waymark.operators.lookup import by_ids, get, respond
 from waymark.operators.proximity import nearest, nearest_batch
-from waymark.operators.search import keep_area, keep_country, search_batch, search_ids
+from waymark.operators.search import best_of_each, keep_area, keep_country, matches, search_batch, search_ids, trees_of
 
 DEFAULT_COUNT, MOST, AREA_COUNT, DEFAULT_LANGUAGE = 10, 100, 10, "en"
 
@@ -55,8 +55,12 @@ class Gazetteer:
         if "," in name:
             parts = name.split(",")
             asked, area = parts[0].strip(), parts[1].strip()
-        hits = search_ids(self.index, asked, language, count if not filter_before_limit else 1 << 30) if len(name) >= 2 else self.index.select("id", F.lit(0.0).cast("float").alias("priority")).limit(0)
-        rows = self.places.join(hits, "id") if filter_before_limit else self._rows(hits)
+        if len(name) < 2:
+            rows = self._rows(matches(self.index, asked, []).limit(0))
+        elif filter_before_limit:
+            rows = self.places.join(best_of_each(matches(self.index, asked, trees_of(language))), "id")
+        else:
+            rows = self._rows(search_ids(self.index, asked, language, count))
         rows = keep_country(rows, country_code)
         if len(area) > 1:
             rows = keep_area(rows, self.areas(area, language))
