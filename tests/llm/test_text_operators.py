@@ -261,6 +261,11 @@ def test_mix(spark):
     for s in size:
         own = [r for r in slots if r["source"] == s]
         assert [r["rank"] for r in own] == list(range(len(own))) and sum(r["tokens"] for r in own) == sums[s]
+    held = {}
+    for r in mix.stream().collect():
+        held.setdefault(r["slot"], []).append(r)
+    assert {k: sum(r["words"] for r in v) for k, v in held.items()} == {r["slot"]: r["tokens"] for r in slots}
+    assert all(0 <= r["first_word"] and r["first_word"] + r["words"] <= r["size"] for v in held.values() for r in v)
     again = {(r["doc_id"], r["size"], r["start"]): r["taken"] for r in mixing.Mix(df.repartition(7), slots=64).taken().collect()}
     assert again == {(r["doc_id"], r["size"], r["start"]): r["taken"] for r in taken}
     out = mixing.mix_documents(df, slots=64)

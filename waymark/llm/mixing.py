@@ -4,7 +4,8 @@ Each source's documents are laid end to end in shuffled order (by a hash of the
 blocks of equal tokens.  Slot i of the schedule takes the van der Corput point of i; the source
 whose interval of cumulative target weight holds the point fills the slot with its next block,
 starting over after its last one, until its target is reached; its last slot may be cut short.
-Any prefix of the schedule has each source near its share.
+Any prefix of the schedule has each source near its share.  Slots and documents
+are joined by block, and a document is taken as often as slots hold its words.
 
 Sources are weighed 3, 1, 2, repeating, in code-point order, null last; a target never exceeds
 `most` times its source's size, and the excess goes to the others by weight.  Null texts and
@@ -108,18 +109,34 @@ class Mix:
         # A slot's tokens follow those of the source's slot before it, past the line's end from its start.
         return whole.select("slot", "source", "rank", "source_size", (F.col("rank") * self.block).alias("from_token"), F.least(F.lit(self.block), F.col("goal") - F.col("rank") * self.block).alias("tokens")).where("tokens > 0")
 
-    def taken(self) -> DataFrame:
-        """The layout with `taken`: the schedule's slots of a source make one run of its line.
+    def stream(self) -> DataFrame:
+        """(slot, turn, source, doc_id, start, size, first_word, words): what each slot takes of which document.
 
-        Slot r takes the tokens r * block ... and ranks have no gaps, so a source's slots cover
-        [0, sum of tokens) of its line repeated; a document gets its overlap with every turn.
+        Slots and documents meet in blocks of their source's line, an equi-join whose keys hold a
+        block's tokens each, however large the source; a slot that passes the line's end goes on
+        in the next turn.
         """
-        run = self.slots.groupBy("source").agg(F.sum("tokens").alias("run")).withColumnRenamed("source", "s")
-        out = self.layout.join(run, self.layout["source"].eqNullSafe(run["s"]), "left").drop("s").withColumn("run", F.coalesce("run", F.lit(0)))
-        turns = F.when(F.col("source_size") > 0, F.floor(F.col("run") / F.col("source_size"))).otherwise(0)
-        out = out.withColumn("turns", turns).withColumn("rest", F.col("run") - F.col("turns") * F.col("source_size"))
-        out = out.withColumn("part", F.greatest(F.lit(0), F.least("end", "rest") - F.col("start")))
-        return out.withColumn("taken", (F.col("turns") * F.col("size") + F.col("part")).cast("long"))
+        at = lambda token: F.floor(token / self.block)
+        size, first, end = F.col("source_size"), F.col("from_token"), F.col("from_token") + F.col("tokens")
+        spans = self.slots.withColumn("turn", F.explode(F.sequence(F.floor(first / size), F.floor((end - 1) / size))))
+        spans = spans.select("slot", "turn", F.col("source").alias("s"), (F.greatest(first, F.col("turn") * size) - F.col("turn") * size).alias("lo"), (F.least(end, (F.col("turn") + 1) * size) - F.col("turn") * size).alias("hi"))
+        spans = spans.withColumn("cell", F.explode(F.sequence(at(F.col("lo")), at(F.col("hi") - 1))))
+        own = self.layout.where("size > 0").select("doc_id", "source", "size", "start", "end")
+        own = own.withColumn("block", F.explode(F.sequence(at(F.col("start")), at(F.col("end") - 1))))
+        met = own.join(spans, own["source"].eqNullSafe(spans["s"]) & (F.col("block") == F.col("cell")))
+        words = F.least("end", "hi") - F.greatest("start", "lo")
+        # Two spans that share several blocks count in the first of them.
+        met = met.where((words > 0) & (F.col("cell") == F.greatest(at(F.col("start")), at(F.col("lo")))))
+        return met.select("slot", "turn", "source", "doc_id", "start", "size", (F.greatest("start", "lo") - F.col("start")).alias("first_word"), words.alias("words"))
+
+    def taken(self) -> DataFrame:
+        """The layout with `taken`, and its `turns` of the whole document and `part` of one more."""
+        sums = self.stream().groupBy("source", "doc_id", "start").agg(F.sum("words").alias("taken"))
+        sums = sums.select(F.col("source").alias("s"), F.col("doc_id").alias("d"), F.col("start").alias("b"), "taken")
+        # Documents of size 0 share their neighbour's start; they are not taken.
+        same = self.layout["source"].eqNullSafe(sums["s"]) & self.layout["doc_id"].eqNullSafe(sums["d"]) & (self.layout["start"] == sums["b"]) & (self.layout["size"] > 0)
+        out = self.layout.join(sums, same, "left").drop("s", "d", "b").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
+        return out.withColumn("turns", F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(0).cast("long")).withColumn("part", F.col("taken") - F.col("turns") * F.col("size"))
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
