@@ -54,6 +54,12 @@ def test_subtrees_in_blocks(spark, monkeypatch):
     sets, links = jaccard_links(rows, 3, 90, 100)
     want = components(sorted(sets), links)
     monkeypatch.setattr(N, "BLOCK", 4)
+    monkeypatch.setattr(N, "BLOCK_SHINGLES", 500)
+    least = {}
+    for i in sorted(sets):
+        least.setdefault(sets[i], i)
+    pairs = {tuple(sorted((least[sets[a]], least[sets[b]]))) for a, b in links}
+    assert {(r["a"], r["b"]) for r in NgramJaccardJoin(3, 90, 100).links(frame(spark, rows)).collect()} == {p for p in pairs if p[0] != p[1]}
     got = NgramJaccardJoin(3, 90, 100).run(frame(spark, rows)).where("doc_id is not null").collect()
     assert {r["doc_id"]: r["component_id"] for r in got} == want
 

@@ -7,6 +7,7 @@ can be cut in UTF-8 without decoding.  All hashes are 64 bits wide and depend on
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -137,6 +138,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Writes a table into the checkpoint folder (dropped when the application ends) and reads it.
+
+    For tables of many rows: Parquet takes a fraction of a checkpoint's disk.
+    """
+    spark = df.sparkSession
+    cut(spark.range(0))  # sets a folder where there is none
+    sc, jvm = spark.sparkContext, spark._jvm
+    path = f"{sc.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(p)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def small(df: DataFrame, rows: int, most: int) -> DataFrame:
     """Marks `df` for broadcast only if its counted rows stay below `most`; else Spark shuffles."""
     return F.broadcast(df) if rows <= most else df

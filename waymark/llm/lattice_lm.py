@@ -23,7 +23,6 @@ each time.  Without training rows every word is scored by pieces alone, all alik
 
 from __future__ import annotations
 
-import uuid
 from collections import Counter
 
 import numpy as np
@@ -31,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import Words, batch, chunks, clash_free, cut, mix, runs, signed, texts_of
+from waymark.llm.common import Words, batch, chunks, clash_free, cut, mix, runs, signed, stored, texts_of
 
 _U = np.uint64
 SPACE = "▁"
@@ -246,18 +245,6 @@ def _blocked(docs: DataFrame) -> DataFrame:
     return cut(docs).withColumn("block", F.spark_partition_id().cast("long"))
 
 
-def _stored(df: DataFrame) -> DataFrame:
-    """Writes a table into the checkpoint folder (dropped when the application ends) and reads it."""
-    spark = df.sparkSession
-    cut(spark.range(0))  # sets a folder where there is none
-    sc, jvm = spark.sparkContext, spark._jvm
-    path = f"{sc.getCheckpointDir()}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(p)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def score_documents(docs: DataFrame, model_path: str, held: Column | None = None) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of docs(doc_id, text)."""
     with open(model_path, "rb") as f:
@@ -265,7 +252,7 @@ def score_documents(docs: DataFrame, model_path: str, held: Column | None = None
     docs = clash_free(docs, "doc_id", "text").withColumn("held", held_out(F.col("doc_id")) if held is None else held)
     docs = _blocked(docs)
     counted = docs.select("block", "held", "text").mapInArrow(_counted, "word binary, block long, n long")
-    words = _stored(counted.repartition("word").sortWithinPartitions("word").mapInArrow(_folded, "word binary, n long, blocks array<long>"))
+    words = stored(counted.repartition("word").sortWithinPartitions("word").mapInArrow(_folded, "word binary, n long, blocks array<long>"))
     sums = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if(F.col("n") > 0).alias("v")).first()
     ends = docs.where(~F.col("held")).count()
     total, known = sums["n"] + ends, sums["v"] + (ends > 0)

@@ -10,12 +10,16 @@ can be shuffled:
    set is filed under (class, group, content of the group), once per group; sets that meet
    nowhere are not linked.  A set with so many empty groups that the agreeing ones might all be
    empty is filed under its smallest shingles too (prefix filter), so no pair is lost.
-2. Entries.  In each subtree the smallest document is compared with every other: first by the
-   bound of summed minima, then, if that survives, on the sets themselves.  Most members of a
-   group of near copies are joined here, with one comparison each.
-3. Leaves.  Where the other members of a subtree still belong to different components, a packed
-   R-tree over their points finds all pairs of them that the bound lets through.  Points are a few
-   bytes; sets travel only for the distinct pairs that survive, to be verified.
+2. Families.  Only points, a few bytes each, travel here.  In each subtree the bound of summed
+   minima is taken between its smallest document and every other; pairs that it lets through join
+   documents to families.  Where a subtree's members still belong to several families, a packed
+   R-tree over their points finds those that the bound joins.  Pairs that may be linked are in
+   one family.
+3. Leaves.  A family's sets meet once, whatever the number of subtrees it shares: an R-tree over
+   finer points bounds, and the sets decide.  A search spreads from each document over those
+   not reached yet, so a group of near copies takes one comparison each.  A family too large
+   for one task is first joined to its smallest document (one comparison each, salted), and what
+   then still has several components is dealt out in pairs of blocks.
 
 Nulls, empty texts: an empty set, linked with nothing; a null id: component null.  A text with
 fewer words than a shingle is one shingle.  Rows that share a doc_id are one document, linked if
@@ -31,11 +35,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import Words, batch, chunks, clash_free, components, cut, mix, runs, signed, small, texts_of, window_hash
+from waymark.llm.common import Words, batch, chunks, clash_free, components, cut, mix, runs, signed, small, stored, texts_of, window_hash
 
 _U = np.uint64
-#: Coordinates of a point, members that a block of a subtree holds, rows that are broadcast at most.
-DIMS, BLOCK, BROADCAST_ROWS = 32, 4096, 1_000_000
+#: Least and most coordinates of a point, and shingles a coordinate stands for (random sets of so many
+#: have a bound far below any threshold of near copies); members that a block of a subtree holds,
+#: shingles that a block of a family holds; rows that are broadcast at most.
+LEAST, MOST, EACH, BLOCK, BLOCK_SHINGLES, BROADCAST_ROWS = 32, 4096, 4, 4096, 500_000, 1_000_000
 
 
 def shingle_sets(texts: list[bytes], size: int) -> Iterator[np.ndarray]:
@@ -85,7 +91,8 @@ class Classes:
             if g - len(at) >= g - d:
                 prefix = len(s) - -(-len(s) * self.num // self.den) + 1
                 out.append(mix(mixed[:prefix] ^ _U(0xD1B54A32D192ED03 + c)))
-        return np.concatenate(out) if out else np.empty(0, np.uint64)
+        # 48 bits: a clash only makes one pair more to bound, and shorter keys are shuffled.
+        return np.concatenate(out) >> _U(16) if out else np.empty(0, np.uint64)
 
 
 def _digests(size: int):
@@ -96,7 +103,7 @@ def _digests(size: int):
             n, points, d = [], [], np.zeros((x.num_rows, 2), np.uint64)
             for i, s in enumerate(shingle_sets(texts_of(x["text"]), size)):
                 n.append(len(s))
-                points.append(counts(s).astype(np.int32).tobytes())
+                points.append(packed(counts(s)))
                 d[i] = mix(s).sum(dtype=np.uint64), mix(s ^ _U(0xA0761D6478BD642F)).sum(dtype=np.uint64)
             yield batch(schema, x["doc_id"], n, signed(d[:, 0].copy()), signed(d[:, 1].copy()), points)
 
@@ -125,28 +132,67 @@ def _filed(size: int, num: int, den: int):
 
 
 def _shared(batches):
-    """Of rows sorted by sig, those whose sig has another row; only one row is kept back."""
-    schema = pa.schema([("sig", pa.int64()), ("doc_id", pa.int64())])
-    sig, doc, open_ = np.empty(0, np.int64), np.empty(0, np.int64), False
+    """Of rows sorted by (sig, doc_id), those whose sig has another row, with its first document."""
+    schema = pa.schema([("sig", pa.int64()), ("doc_id", pa.int64()), ("entry", pa.int64())])
+    sig, doc, entry, open_ = np.empty(0, np.int64), np.empty(0, np.int64), 0, False
     for x in batches:
         sig, doc = np.concatenate([sig, x["sig"].to_numpy()]), np.concatenate([doc, x["doc_id"].to_numpy()])
         same = sig[1:] == sig[:-1]
         keep = np.concatenate([[open_], same]) | np.concatenate([same, [False]])
+        first = np.maximum.accumulate(np.where(np.concatenate([[not open_], ~same]), np.arange(len(sig)), -1))
+        entries = np.where(first >= 0, doc[first], entry)
         if keep[:-1].any():
-            yield batch(schema, sig[:-1][keep[:-1]], doc[:-1][keep[:-1]])
-        sig, doc, open_ = sig[-1:], doc[-1:], bool(keep[-1])
+            yield batch(schema, sig[:-1][keep[:-1]], doc[:-1][keep[:-1]], entries[:-1][keep[:-1]])
+        # The last row waits for the next batch; what it belongs to is known if it continues a run.
+        sig, doc, entry, open_ = sig[-1:], doc[-1:], entries[-1], bool(keep[-1])
     if open_:
-        yield batch(schema, sig, doc)
+        yield batch(schema, sig, doc, [entry])
+
+
+def dims_for(n: int) -> int:
+    """Coordinates of a set of n: a power of two."""
+    return min(MOST, max(LEAST, 1 << max(0, (n // EACH) - 1).bit_length()))
+
+
+def counts(s: np.ndarray, dims: int = 0) -> np.ndarray:
+    dims = dims or dims_for(len(s))
+    return np.bincount((s & _U(dims - 1)).astype(np.intp), minlength=dims)
+
+
+def packed(point: np.ndarray) -> bytes:
+    """A byte a coordinate where that is enough, else four; the first byte tells."""
+    wide = bool(point.max() > 255)
+    return bytes([wide]) + point.astype(np.int32 if wide else np.uint8).tobytes()
+
 
+def unpacked(points: list[bytes]) -> np.ndarray:
+    """A row a point.  Groups are named by low bits, so adding the halves of a point of more
+    coordinates gives it in fewer: all come in those of the least."""
+    rows = [np.frombuffer(x, np.int32 if x[0] else np.uint8, offset=1) for x in points]
+    dims = min(map(len, rows))
+    return np.stack([x.reshape(-1, dims).sum(0, dtype=np.int32) if len(x) > dims else x.astype(np.int32) for x in rows])
 
-def counts(s: np.ndarray) -> np.ndarray:
-    return np.bincount((s & _U(DIMS - 1)).astype(np.intp), minlength=DIMS)
+
+def _bounded(num: int, den: int):
+    """Of pairs with both points, those whose summed minima let the overlap reach the threshold."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches):
+        for x in batches:
+            keep = np.zeros(x.num_rows, bool)
+            for i, pair in enumerate(zip(x["p"].to_pylist(), x["q"].to_pylist())):
+                p, q = unpacked(pair)
+                most = int(np.minimum(p, q).sum())
+                keep[i] = den * most >= num * (int(p.sum() + q.sum()) - most)
+            yield batch(schema, x["a"].to_numpy()[keep], x["b"].to_numpy()[keep])
+
+    return run
 
 
 class CountTree:
     """A packed R-tree over count vectors; children halve their parent at its widest coordinate."""
 
-    LEAF = 16
+    LEAF = 32
 
     def __init__(self, points: np.ndarray, classes: Classes):
         self.points, self.sizes, self.classes = points, points.sum(1), classes
@@ -186,16 +232,16 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def _visits(size: int):
-    schema = pa.schema([("key", pa.int64()), ("salt", pa.int64()), ("kind", pa.int32()), ("doc_id", pa.int64()), ("set", pa.binary())])
+    schema = pa.schema([("key", pa.int64()), ("salt", pa.int64()), ("kind", pa.int32()), ("component", pa.int64()), ("doc_id", pa.int64()), ("set", pa.binary())])
 
     def run(batches):
         for x in runs(batches):
             ids, lists, rows, held = x["doc_id"].to_pylist(), x["visits"].to_pylist(), [], 0
             for i, s in enumerate(shingle_sets(texts_of(x["text"]), size)):
                 for v in lists[i]:
-                    rows.append((v["key"], v["salt"], v["kind"], ids[i], s.tobytes()))
+                    rows.append((v["key"], v["salt"], v["kind"], v["component"], ids[i], s.tobytes()))
                     held += 8 * len(s)
-                if held > 8 << 20:
+                if held > 2 << 20:
                     yield batch(schema, *map(list, zip(*rows)))
                     rows, held = [], 0
             if rows:
@@ -230,20 +276,67 @@ def _entries(num: int, den: int):
     return run
 
 
-def _leaves(num: int, den: int, every: bool):
-    """Pairs, of different components unless `every`, that the bound lets through, of one block or two."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def _spanning(labels: np.ndarray, near, linked) -> Iterator[tuple[int, int]]:
+    """Linked pairs that join the labels as all linked pairs would.
+
+    near(i): rows that may be linked with row i.  Rows of one label are joined already.  The search
+    goes on from every row that it reaches, and looks only at rows that it has not reached.
+    """
+    order = np.argsort(labels, kind="stable")
+    cuts = np.flatnonzero(np.diff(labels[order])) + 1
+    group = dict(zip(labels[order[np.concatenate([[0], cuts])]].tolist(), np.split(order, cuts)))
+    left, many = np.ones(len(labels), bool), len(labels)
+    for seed in list(group):
+        if not left[group[seed][0]]:
+            continue
+        todo = [group[seed]]
+        left[group[seed]] = False
+        many -= len(group[seed])
+        while todo and many:
+            for i in todo.pop():
+                if not many:
+                    break
+                found = near(i)
+                for j in found[left[found]]:
+                    if left[j] and linked(i, j):
+                        yield i, j
+                        own = group[int(labels[j])]
+                        left[own] = False
+                        many -= len(own)
+                        todo.append(own)
+
+
+def _pairs(ids: np.ndarray, found: list[tuple[int, int]]) -> pa.Table:
+    x, y = (ids[np.array(c, np.intp)] for c in zip(*found)) if found else (ids[:0], ids[:0])
+    return pa.table([pa.array(np.minimum(x, y), pa.int64()), pa.array(np.maximum(x, y), pa.int64())], ["a", "b"])
+
+
+def _subtree(num: int, den: int):
+    """Of a subtree's block or two, pairs within the bound that join its members' families."""
+
+    def run(table: pa.Table) -> pa.Table:
+        points = unpacked(table["point"].to_pylist())
+        tree = CountTree(points, Classes(num, den))
+        return _pairs(table["doc_id"].to_numpy(), list(_spanning(table["family"].to_numpy(), lambda i: tree.near(points[i]), lambda i, j: True)))
+
+    return run
+
+
+def _family(num: int, den: int, every: bool):
+    """Of a family's block or two, links that join its components, or every link."""
 
     def run(table: pa.Table) -> pa.Table:
-        ids, comp = table["doc_id"].to_numpy(), table["component"].to_numpy()
-        points = np.stack([np.frombuffer(x, np.int32) for x in table["point"].to_pylist()]).astype(np.int64)
-        tree, a, b = CountTree(points, Classes(num, den)), [], []
-        for i in range(len(ids)):
-            near = tree.near(points[i])
-            near = near[(ids[near] > ids[i]) & (every | (comp[near] != comp[i]))]
-            a.append(np.full(len(near), ids[i]))
-            b.append(ids[near])
-        return pa.table([np.concatenate(a), np.concatenate(b)], schema=schema)
+        classes, ids = Classes(num, den), table["doc_id"].to_numpy()
+        sets = [np.frombuffer(x, np.uint64) for x in table["set"].to_pylist()]
+        dims = dims_for(int(np.median([len(s) for s in sets])))
+        points = np.stack([counts(s, dims).astype(np.int32) for s in sets])
+        tree = CountTree(points, classes)
+        linked = lambda i, j: classes.linked(_common(sets[i], sets[j]), len(sets[i]), len(sets[j]))
+        if every:
+            found = [(i, j) for i in range(len(ids)) for j in tree.near(points[i]) if ids[i] < ids[j] and linked(i, j)]
+        else:
+            found = list(_spanning(table["component"].to_numpy(), lambda i: tree.near(points[i]), linked))
+        return _pairs(ids, found)
 
     return run
 
@@ -259,64 +352,92 @@ class NgramJaccardJoin:
 
     def directory(self, docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         """nodes(doc_id, n, rep) of all rows, points(doc_id, point) of the sets, members(sig, doc_id,
-        entry, members) of subtrees with several sets, named by their smallest documents."""
+        entry) of subtrees with several documents, of which entry is the smallest."""
         docs = clash_free(docs, "doc_id", "text")
         raw = cut(docs.mapInArrow(_digests(self.size), "doc_id long, n long, d1 long, d2 long, point binary"))
         reps = raw.where("n > 0 and doc_id is not null").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"))
         nodes = cut(raw.drop("point").join(reps, ["n", "d1", "d2"], "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep")))
-        filed = docs.where("doc_id is not null").mapInArrow(_filed(self.size, self.num, self.den), "sig long, doc_id long")
-        met = cut(filed.repartition("sig").sortWithinPartitions("sig").mapInArrow(_shared, "sig long, doc_id long"))
-        twins = nodes.where("n > 0 and rep is not null").select("doc_id", "rep").distinct()
-        own = met.join(twins, "doc_id").select("sig", F.col("rep").alias("doc_id")).distinct()
-        span = own.groupBy("sig").agg(F.min("doc_id").alias("entry"), F.max("doc_id").alias("last"), F.count("*").alias("members")).where("entry < last")
-        return nodes, raw.where("n > 0").select("doc_id", "point").distinct(), cut(own.join(span.drop("last"), "sig"))
-
-    def _candidates(self, members: DataFrame, points: DataFrame, every: bool) -> DataFrame:
-        """Distinct pairs (a, b) of members(sig, doc_id, component) that a subtree's R-trees let through.
-
-        A subtree of more than BLOCK members is dealt out in blocks, each pair of blocks a task's group.
-        """
-        blocks = members.groupBy("sig").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-        rows = members.join(blocks, "sig").withColumn("own", F.pmod(F.xxhash64("doc_id", "sig"), "blocks"))
+        # A document goes only if all texts under its id are copies of smaller documents'.
+        copies = cut(nodes.where("doc_id is not null").groupBy("doc_id").agg(F.bool_and(F.col("rep") < F.col("doc_id")).alias("copy")).where("copy").select("doc_id"))
+        own = docs.where("doc_id is not null").join(small(copies, copies.count(), BROADCAST_ROWS), "doc_id", "left_anti")
+        filed = own.select("doc_id", "text").mapInArrow(_filed(self.size, self.num, self.den), "sig long, doc_id long")
+        members = filed.repartition("sig").sortWithinPartitions("sig", "doc_id").mapInArrow(_shared, "sig long, doc_id long, entry long")
+        return nodes, raw.where("n > 0").select("doc_id", "point").distinct(), stored(members)
+
+    def _bounded(self, pairs: DataFrame, points: DataFrame) -> DataFrame:
+        left = pairs.join(points.select(F.col("doc_id").alias("a"), F.col("point").alias("p")), "a")
+        return left.join(points.select(F.col("doc_id").alias("b"), F.col("point").alias("q")), "b").mapInArrow(_bounded(self.num, self.den), "a long, b long")
+
+    @staticmethod
+    def _cells(rows: DataFrame, key: str) -> DataFrame:
+        """rows(key, blocks, ...) dealt out in `cell`s: each pair of a key's blocks is one."""
+        own = rows.withColumn("own", F.pmod(F.xxhash64("doc_id", key), "blocks"))
         cell = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda other: F.least(other, F.col("own")) * F.col("blocks") + F.greatest(other, F.col("own")))
-        rows = rows.select("sig", "doc_id", "component", F.explode(cell).alias("cell")).join(points, "doc_id")
-        return rows.groupBy("sig", "cell").applyInArrow(_leaves(self.num, self.den, every), "a long, b long").distinct()
-
-    def _verified(self, text: DataFrame, pairs: DataFrame) -> DataFrame:
-        """The links among pairs(a, b).  Sets meet at a, of which each 4096 partners get a copy."""
-        salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / 4096).alias("salts"))
-        partners = pairs.join(salts, "a").select(F.col("b").alias("doc_id"), F.col("a").alias("key"), F.pmod(F.xxhash64("b"), "salts").alias("salt"), F.lit(1).alias("kind"))
-        heads = salts.select(F.col("a").alias("doc_id"), F.col("a").alias("key"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"))
-        lists = cut(partners.union(heads).groupBy("doc_id").agg(F.collect_list(F.struct("key", "salt", "kind")).alias("visits")))
-        sets = text.join(small(lists, lists.count(), BROADCAST_ROWS), "doc_id").select("doc_id", "visits", "text").mapInArrow(_visits(self.size), "key long, salt long, kind int, doc_id long, set binary")
-        met = sets.repartition("key", "salt").sortWithinPartitions("key", "salt", "kind")
+        return own.withColumn("cell", F.explode(cell)).drop("own", "blocks")
+
+    def families(self, points: DataFrame, members: DataFrame) -> DataFrame:
+        """(doc_id, family) of the documents that the bound joins to others."""
+        near = cut(self._bounded(members.where("entry < doc_id").select(F.col("entry").alias("a"), F.col("doc_id").alias("b")).distinct(), points).distinct())
+        found = cut(components(near))
+        rows = found.count()
+        mine = members.join(small(found.withColumnRenamed("id", "doc_id"), rows, BROADCAST_ROWS), "doc_id", "left").select("sig", "doc_id", "entry", F.coalesce("component", "doc_id").alias("family"))
+        theirs = mine.join(small(found.withColumnRenamed("id", "entry"), rows, BROADCAST_ROWS), "entry", "left").where(F.coalesce("component", "entry") != F.col("family"))
+        open_ = cut(theirs.select("sig").distinct())
+        rest = mine.join(small(open_, open_.count(), BROADCAST_ROWS), "sig", "left_semi").select("sig", "doc_id", "family")
+        # Two members have been compared already; of more, only pairs with the first.
+        sizes = rest.groupBy("sig").agg(F.count("*").alias("members")).where("members > 2").select("sig", F.ceil(F.col("members") / BLOCK).alias("blocks"))
+        cells = self._cells(rest.join(sizes, "sig"), "sig").join(points, "doc_id")
+        more = cut(cells.groupBy("sig", "cell").applyInArrow(_subtree(self.num, self.den), "a long, b long").distinct())
+        if not more.isEmpty():
+            found = cut(components(near.union(more)))
+        return found.select(F.col("id").alias("doc_id"), F.col("component").alias("family"))
+
+    def _sets(self, text: DataFrame, visits: DataFrame) -> DataFrame:
+        """The set of each of visits(doc_id, key, salt, kind, component), from the texts."""
+        lists = cut(visits.groupBy("doc_id").agg(F.collect_list(F.struct("key", "salt", "kind", "component")).alias("visits")))
+        values = lists.agg(F.sum(F.size("visits"))).first()[0] or 0
+        return text.join(small(lists, values, BROADCAST_ROWS), "doc_id").select("doc_id", "visits", "text").mapInArrow(_visits(self.size), "key long, salt long, kind int, component long, doc_id long, set binary")
+
+    def _to_smallest(self, text: DataFrame, members: DataFrame) -> DataFrame:
+        """Links of members(family, doc_id) with their family's smallest; each 4096 get a copy of its set."""
+        none = F.lit(0).cast("long").alias("component")
+        salts = members.groupBy("family").agg(F.ceil(F.count("*") / 4096).alias("salts"))
+        partners = members.where("family < doc_id").join(salts, "family").select("doc_id", F.col("family").alias("key"), F.pmod(F.xxhash64("doc_id"), "salts").alias("salt"), F.lit(1).alias("kind"), none)
+        heads = salts.select(F.col("family").alias("doc_id"), F.col("family").alias("key"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), none)
+        met = self._sets(text, partners.union(heads)).repartition("key", "salt").sortWithinPartitions("key", "salt", "kind")
         return cut(met.mapInArrow(_entries(self.num, self.den), "a long, b long").distinct())
 
-    def run(self, docs: DataFrame) -> DataFrame:
-        """(doc_id, n_shingles, component_id) of every row of docs(doc_id, text)."""
+    def _linked(self, docs: DataFrame, every: bool) -> tuple[DataFrame, DataFrame]:
+        """(nodes, links): links of distinct sets, all or as many as join their components."""
         nodes, points, members = self.directory(docs)
         text = clash_free(docs, "doc_id", "text").where("doc_id is not null")
-        entries = cut(members.where("entry < doc_id").select(F.col("entry").alias("a"), F.col("doc_id").alias("b")).distinct())
+        sizes = nodes.where("rep = doc_id").select("doc_id", "n").distinct()
+        own = self.families(cut(points), members).join(sizes, "doc_id")
+        own = cut(own.join(own.groupBy("family").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("blocks")), "family"))
+        first = own.where("false").select(F.col("family").alias("a"), F.col("doc_id").alias("b"))
+        large = own.where("blocks > 1")
+        own = own.withColumn("component", F.col("doc_id"))
+        if not every and not large.isEmpty():
+            first = self._to_smallest(text, large.select("family", "doc_id"))
+            found = components(first).select(F.col("id").alias("doc_id"), F.col("component").alias("joined"))
+            own = own.join(found, "doc_id", "left").withColumn("component", F.coalesce("joined", "doc_id")).drop("joined")
+            open_ = own.groupBy("family").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("family")
+            own = own.join(open_, "family")
+        visits = self._cells(own, "family").select("doc_id", F.col("family").alias("key"), F.col("cell").alias("salt"), F.lit(1).alias("kind"), "component")
+        links = self._sets(text, visits).groupBy("key", "salt").applyInArrow(_family(self.num, self.den, every), "a long, b long")
+        return nodes, cut(links.distinct()).union(first)
+
+    def run(self, docs: DataFrame) -> DataFrame:
+        """(doc_id, n_shingles, component_id) of every row of docs(doc_id, text)."""
+        nodes, links = self._linked(docs, every=False)
         same = nodes.where("rep < doc_id").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-        links = self._verified(text, entries).union(same)
-        found = cut(components(links))
-
-        rest = members.where("entry < doc_id and members > 2").join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-        rest = rest.select("sig", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-        open_ = rest.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("sig")
-        pairs = cut(self._candidates(rest.join(open_, "sig"), points, every=False).join(entries, ["a", "b"], "left_anti"))
-        if not pairs.isEmpty():
-            more = self._verified(text, pairs)
-            if not more.isEmpty():
-                found = cut(components(links.union(more)))
+        found = cut(components(links.union(same)))
         out = nodes.join(found, nodes["doc_id"] == found["id"], "left")
         return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
     def links(self, docs: DataFrame) -> DataFrame:
         """All links (a, b), a < b, between the smallest documents of distinct sets."""
-        _, points, members = self.directory(docs)
-        pairs = cut(self._candidates(members.select("sig", "doc_id", F.col("doc_id").alias("component")), points, every=True))
-        return self._verified(clash_free(docs, "doc_id", "text").where("doc_id is not null"), pairs)
+        return self._linked(docs, every=True)[1].distinct()
 
 
 def one_of_each(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10) -> DataFrame:
