@@ -146,9 +146,12 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     # Rows that share an id and a size are told apart by their place among themselves.
     own = own.withColumn("_nth", F.row_number().over(W.partitionBy("doc_id", "_size").orderBy("text")))
     both = own.join(taken, own["doc_id"].eqNullSafe(taken["_d"]) & (F.col("_size") == F.col("_s")) & (F.col("_nth") == F.col("_k"))).withColumn("size", F.col("_s"))
-    whole = both.where("turns > 0 and size > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("turns")))).select(*docs.columns)
-    words = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)), F.lit(1), F.col("part").cast("int")), " ")
-    first = both.where("part > 0").withColumn("text", words)
+    first = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)), F.lit(1), F.col("part").cast("int")), " ")
+    fields = {"text": (F.col("text"), first)}
     if "n_chars" in docs.columns:
-        first = first.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return whole.unionByName(first.select(*docs.columns))
+        fields["n_chars"] = (F.col("n_chars"), F.length(first).cast(docs.schema["n_chars"].dataType))
+    whole, part = (F.struct(*[v[k].alias(c) for c, v in fields.items()]) for k in (0, 1))
+    # All copies of a document come from its one row, so the texts are shuffled once.
+    copies = F.concat(F.array_repeat(whole, F.col("turns").cast("int")), F.when(F.col("part") > 0, F.array(part)).otherwise(F.array_repeat(whole, F.lit(0))))
+    out = both.where("size > 0").withColumn("_copy", F.explode(copies))
+    return out.select(*[F.col(f"_copy.{c}").alias(c) if c in fields else F.col(c) for c in docs.columns])
