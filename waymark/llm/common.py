@@ -6,6 +6,7 @@ can be cut in UTF-8 without decoding.  All hashes are 64 bits wide and depend on
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -21,6 +22,16 @@ WORD = r"[^\x20\x09-\x0D]+"
 CHUNK = 1 << 19
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
+# Workers outlive their tasks: large arrays are to go back to the system when they are freed, not
+# to stay in allocators' pools beside the JVM's heap.  (-3: M_MMAP_THRESHOLD, -8: M_ARENA_MAX.)
+pa.set_memory_pool(pa.system_memory_pool())
+try:
+    _libc = ctypes.CDLL(None)
+    _libc.mallopt(-3, 1 << 20)
+    _libc.mallopt(-8, 2)
+except (OSError, AttributeError):  # another C library
+    pass
+
 _U = np.uint64
 _MASK = (1 << 64) - 1
 _P = 0x9E3779B97F4A7C15 | 1
