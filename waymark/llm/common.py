@@ -172,12 +172,12 @@ def small(df: DataFrame, rows: int, most: int) -> DataFrame:
 def clash_free(df: DataFrame, *needed: str) -> DataFrame:
     """Only the needed columns, so that further ones with clashing names do no harm.
 
-    Where the session does not say otherwise, Arrow batches for Python are held to 2000 rows:
+    Where the session does not say otherwise, Arrow batches for Python are held to 1000 rows:
     beside the JVM's heap, an executor needs memory for few texts at a time.
     """
     conf = df.sparkSession.conf
     if conf.get(BATCH_ROWS, "0") == "10000":
-        conf.set(BATCH_ROWS, "2000")
+        conf.set(BATCH_ROWS, "1000")
     return df.select(*[df[c] for c in needed])
 
 

@@ -25,7 +25,7 @@ from waymark.llm.common import clash_free, runs
 SPACE = "▁"
 #: Segments in each of a worker's two generations of remembered ones, and characters that one
 #: call of `merge` takes.
-REMEMBERED, AT_ONCE = 120_000, 1 << 19
+REMEMBERED, AT_ONCE = 60_000, 1 << 18
 
 
 class PieceBpe:
@@ -73,7 +73,7 @@ class PieceBpe:
         self.seen: dict[str, list[int]] = {}
         self.older: dict[str, list[int]] = {}
 
-    SLOTS = 20
+    SLOTS = 18
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.SLOTS)).astype(np.int64)
