@@ -35,6 +35,11 @@ al como con del el las lo los más no para por se su una y
 """.split()
 
 
+def _with(value: Column, then) -> Column:
+    """`then` of a value that is computed once, however often `then` names it."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
 #: What stands between words.
 GAP = r"[\x00-/:-@\[-`{-\u00A9\u00AB-\u00B4\u00B6-\u00B9\u00BB-\u00BF\u2000-\u206F\u3000-\u303F\uFF00-\uFF0F]+"
 
@@ -55,8 +60,8 @@ def signatures(text: Column) -> Column:
     marked = F.regexp_replace(F.concat(F.lit(" "), inner, F.lit(" ")), f" (?:{_anchors()}) ", "\x01")
     marked = F.regexp_replace(marked, "  ".join([r"([^ \x01]+"] + [r"[^ \x01]+"] * (CHAIN - 1)) + ")  ", "$1\x01")
     chains = F.filter(F.transform(F.split(marked, "\x01+", -1), lambda c: F.btrim(c)), lambda c: c != "")
-    chains = F.when((F.size(chains) == 0) & (inner != ""), F.array(inner)).otherwise(chains)
-    return F.array_sort(F.array_distinct(F.transform(chains, lambda c: F.hash(c))))
+    hashes = _with(F.transform(chains, lambda c: F.hash(c)), lambda h: F.when((F.size(h) == 0) & (inner != ""), F.array(F.hash(inner))).otherwise(h))
+    return F.array_sort(F.array_distinct(hashes))
 
 
 def fingerprint(sigs: Column) -> Column:
@@ -66,8 +71,7 @@ def fingerprint(sigs: Column) -> Column:
 def likeness(a: Column, b: Column, floor: float = 0.0) -> Column:
     """Jaccard similarity of two signature sets; 0 if their lengths alone keep it below the floor."""
     least, most = F.least(F.size(a), F.size(b)), F.greatest(F.size(a), F.size(b))
-    common = F.size(F.array_intersect(a, b))
-    exact = common / (least + most - common)
+    exact = _with(F.size(F.array_intersect(a, b)), lambda common: common / (least + most - common))
     return F.when(most == 0, 1.0).when((least == 0) | (least < F.lit(floor) * most), 0.0).otherwise(exact)
 
 
