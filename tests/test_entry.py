@@ -36,3 +36,18 @@ def test_query(spark, duck, name):
         want = duck.execute(gazetteer.SQL[name]).fetchdf()
         assert sorted(got.columns) == sorted(want.columns)
         assert rows(got) == rows(want)
+
+
+def test_batch_asks_every_part(spark):
+    got = {}
+    for r in gazetteer.QUERIES["search_batch_all"](spark, SF).orderBy("qid", "rank").collect():
+        got.setdefault(r["qid"], []).append(r["id"])
+    index = [r for r in gazetteer.database(spark, SF)["name_index"].collect() if r["tree"] in ("", "en")]
+    want = {}
+    for p in spark.read.parquet(f"{SF}/part.parquet").collect():
+        m = 1 + p["p_partkey"] % 6
+        q = p["p_name"][:m].lower()
+        if hits := {r["id"] for r in index if (r["folded"] == q if m <= 2 else r["folded"].startswith(q))}:
+            want[p["p_partkey"]] = hits
+    assert got.keys() == want.keys() and {k % 4 for k in want} == {0, 1, 2, 3}
+    assert all(len(ids) == min(5, len(want[k])) and want[k].issuperset(ids) for k, ids in got.items())
