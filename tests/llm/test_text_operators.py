@@ -123,6 +123,12 @@ def test_broken_pages_do_not_crash(page):
     assert isinstance(mincut_html.extract(page), str)
 
 
+@pytest.mark.parametrize("raw", ["<script>var a = 1;</script>", "<STYLE>p {}</STYLE>", "<noscript>no</NoScript>", "<textarea>no</textarea>"])
+def test_raw_elements_end_where_they_do_behind_letters_of_two_cases(raw):
+    page = f"<html><head><title>İstanbul İİİ</title></head><body><article><p>{LONG}</p>{raw}<p>İ {LONG}</p>{raw}<p>{LONG}</p></article></body></html>"
+    assert mincut_html.extract(page).split("\n\n") == [LONG, f"İ {LONG}", LONG]
+
+
 def test_pages_of_the_fixture(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     got = {r["page_id"]: r["text"] for r in mincut_html.extract_pages(pages).collect()}

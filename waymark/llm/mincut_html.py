@@ -34,6 +34,8 @@ _WORD = re.compile(r"[a-z]+|[0-9]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = frozenset("script style template noscript head title svg math iframe object canvas audio video select textarea option datalist".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
+#: Lower case can be longer than the page ('İ'), so ends are looked for in the page itself.
+RAW_END = {name: re.compile(f"</{name}", re.I | re.A) for name in RAW}
 BLOCK = frozenset("""address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure
     footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul""".split())
 ENDS_P = BLOCK - {"button", "caption", "html", "body", "legend", "summary"}
@@ -105,7 +107,6 @@ def blocks(page: str) -> list[Block]:
     root = _Element("", "", None)
     stack, out, text, linked, links, blank = [root], [], [], 0, 0, True
     holder, at, page = root, 0, page.replace("\x00", "")
-    lower = None
 
     def flush() -> None:
         nonlocal text, linked, blank
@@ -178,9 +179,8 @@ def blocks(page: str) -> list[Block]:
             stack.append(_Element(name, m[3], stack[-1]))
             links += name == "a"
         if name in RAW:
-            lower = lower or page.lower()
-            end = lower.find(f"</{name}", at)
-            at = len(page) if end < 0 else end
+            end = RAW_END[name].search(page, at)
+            at = end.start() if end else len(page)
     flush()
     return out
 
