@@ -129,6 +129,22 @@ def test_raw_elements_end_where_they_do_behind_letters_of_two_cases(raw):
     assert mincut_html.extract(page).split("\n\n") == [LONG, f"İ {LONG}", LONG]
 
 
+@pytest.mark.parametrize("before, after", [("<div>", "</div>"), ("<div>", ""), ("<b>", ""), ("<span><div>", "</div></span>"), ("<ul><li>", "</ul>")])
+@pytest.mark.parametrize("n", [1, 1000])
+def test_depth_changes_no_label(before, after, n):
+    furniture = f"<aside>{before * n}<p>{LONG}</p>{after * n}</aside>"
+    page = f"<div id=main>{furniture}<article><p>{LONG}</p></article><nav><p>{LONG}</p></nav><p>{LONG} End.</p></div>{before * n}<div><p>{LONG} Deep.</p><form><p>{LONG}</p></form></div><footer><p>{LONG}</p></footer>"
+    assert mincut_html.extract(page).split("\n\n") == [LONG, f"{LONG} End.", f"{LONG} Deep."]
+
+
+@pytest.mark.parametrize("unit", ["<div></section>", "<b></i>", "<b>x<p>y</p>", "<li><b>", "<div><td>x", "<p><span>x</b>"])
+def test_time_grows_with_the_depth(unit):
+    import time
+
+    began = time.time()
+    assert len(mincut_html.blocks(unit * 30000)) <= 60000 and time.time() - began < 5
+
+
 def test_pages_of_the_fixture(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     got = {r["page_id"]: r["text"] for r in mincut_html.extract_pages(pages).collect()}

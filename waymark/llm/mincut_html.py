@@ -19,7 +19,8 @@ from __future__ import annotations
 
 import html
 import re
-from collections import deque
+from bisect import bisect
+from collections import defaultdict, deque
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -58,7 +59,7 @@ ADJACENT, SIBLING = 0.6, 0.9
 
 
 class _Element:
-    __slots__ = ("name", "cue", "lift", "parent", "silent", "inside")
+    __slots__ = ("name", "cue", "lift", "parent", "silent", "inside", "block")
 
     def __init__(self, name: str, attributes: str, parent: "_Element | None"):
         self.name, self.parent = name, parent
@@ -84,6 +85,8 @@ class _Element:
         self.cue = cue + (parent.cue if parent else 0.0)
         self.silent = name in SILENT or bool(parent and parent.silent)
         self.inside = within
+        # The nearest block, itself included.
+        self.block = parent.block if parent and name not in BLOCK else self
 
 
 class Block:
@@ -107,15 +110,15 @@ def blocks(page: str) -> list[Block]:
     root = _Element("", "", None)
     stack, out, text, linked, links, blank = [root], [], [], 0, 0, True
     holder, at, page = root, 0, page.replace("\x00", "")
+    # Where in the stack each name's elements and the blocks are, so that closing needs no search.
+    places, block_places = defaultdict(list), []
 
     def flush() -> None:
         nonlocal text, linked, blank
         if text:
             whole = " ".join(html.unescape("".join(text)).split())
             if whole:
-                near = holder
-                while near.parent and near.name not in BLOCK:
-                    near = near.parent
+                near = holder.block
                 out.append(Block(whole, linked, near, near.name))
             text = []
         linked, blank = 0, True
@@ -132,7 +135,11 @@ def blocks(page: str) -> list[Block]:
 
     def close(k: int) -> None:
         nonlocal links
-        links -= sum(e.name == "a" for e in stack[k:])
+        for e in stack[k:]:
+            places[e.name].pop()
+            links -= e.name == "a"
+            if e.name in BLOCK:
+                block_places.pop()
         del stack[k:]
 
     while at < len(page):
@@ -148,36 +155,28 @@ def blocks(page: str) -> list[Block]:
         if m[1]:
             if name in BLOCK:
                 flush()
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].name == name:
-                    close(k)
-                    break
-                if name not in BLOCK and stack[k].name in BLOCK:
-                    break
+            if places[name] and (name in BLOCK or not block_places or places[name][-1] > block_places[-1]):
+                close(places[name][-1])
             continue
         if name == "br":
             say(" ")
         if name in BLOCK:
             flush()
-        if name in ENDS_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].name == "p":
-                    close(k)
-                    break
-                if stack[k].name in BLOCK and stack[k].name != "p":
-                    break
+        if name in ENDS_P and block_places and stack[block_places[-1]].name == "p":
+            close(block_places[-1])
         if name in IMPLIED:
             closed, stop = IMPLIED[name]
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].name in stop:
-                    break
-                if stack[k].name in closed:
-                    close(k)
+            last = max((places[n][-1] for n in stop if places[n]), default=0)
+            inner = [places[n][k] for n in closed if (k := bisect(places[n], last)) < len(places[n])]
+            if inner:
+                close(min(inner))
         if name in VOID or m[3].endswith("/") and name in ("svg", "math"):
             continue
-        if len(stack) < 400:
-            stack.append(_Element(name, m[3], stack[-1]))
-            links += name == "a"
+        places[name].append(len(stack))
+        if name in BLOCK:
+            block_places.append(len(stack))
+        stack.append(_Element(name, m[3], stack[-1]))
+        links += name == "a"
         if name in RAW:
             end = RAW_END[name].search(page, at)
             at = end.start() if end else len(page)
