@@ -145,6 +145,13 @@ def test_time_grows_with_the_depth(unit):
     assert len(mincut_html.blocks(unit * 30000)) <= 60000 and time.time() - began < 5
 
 
+def test_formulas_and_fallbacks_are_text():
+    formula = "<math><semantics><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow><annotation encoding='application/x-tex'>x = 2</annotation><annotation-xml><ci>x</ci></annotation-xml></semantics></math>"
+    media = "".join(f"<{n}><p>{LONG} {n}</p></{n}>" for n in ("object", "audio", "video", "canvas"))
+    page = f"<article><p>Here {formula} holds. {LONG}</p>{media}</article><nav><object><p>{LONG}</p></object></nav>"
+    assert mincut_html.extract(page).split("\n\n") == [f"Here x=2 holds. {LONG}", *(f"{LONG} {n}" for n in ("object", "audio", "video", "canvas"))]
+
+
 def test_pages_of_the_fixture(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     got = {r["page_id"]: r["text"] for r in mincut_html.extract_pages(pages).collect()}

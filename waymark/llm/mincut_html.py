@@ -9,7 +9,8 @@ are the article.
 The classifier is a sum of weighted cues: the names, classes, ids and roles of the elements
 around a block, the share of its characters in links, its length, marks and stop characters.
 Elements that never hold readable text (scripts, styles, forms' controls, templates, head) make no
-block.  Inside a block white space becomes one space; character references are decoded.
+block.  Formulas in MathML but their annotations, and what stands for media that cannot be shown,
+are text as any other.  Inside a block white space becomes one space; character references are decoded.
 
 Null or empty html, or html without text, gives the empty string; repeated pages are done each;
 deep or broken markup costs time in proportion to its length only.
@@ -33,7 +34,7 @@ _WORD = re.compile(r"[a-z]+|[0-9]+")
 
 #: Element names of the HTML standard by what they mean for a block.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("script style template noscript head title svg math iframe object canvas audio video select textarea option datalist".split())
+SILENT = frozenset("script style template noscript head title svg annotation annotation-xml iframe select textarea option datalist".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
 #: Lower case can be longer than the page ('İ'), so ends are looked for in the page itself.
 RAW_END = {name: re.compile(f"</{name}", re.I | re.A) for name in RAW}
