@@ -5,6 +5,10 @@ documents; the last returns token ids.  Documents rejected by the quality classi
 group of near copies (five words, similarity 0.8) one document stays, repeated passages of 50
 words are cut out of all but the first document, sources are mixed to their target weights, and
 the mix is encoded.
+
+Rows without an id: the classifier judges them as any other; they are nobody's near copy and
+neither remove nor lose a passage, as both stages tell documents by their ids; they are mixed and
+encoded, with a null id.
 """
 
 from __future__ import annotations
@@ -15,18 +19,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.llm import mixing, ngram_jaccard, piece_bpe, quality_classifier, substring_dedup
-from waymark.llm.common import cut, load, small
+from waymark.llm.common import cut, load
 from waymark.llm.queries import TOKENIZERS
 
-#: Ids that are broadcast at most.
-BROADCAST_IDS = 1_000_000
-
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier keeps; of rows that share an id, all or none."""
-    verdicts = quality_classifier.QualityClassifier(docs, load(spark, sf_dir, "labels")).classify(docs)
-    gone = cut(verdicts.where("not kept and doc_id is not null").select("doc_id").distinct())
-    return docs.join(small(gone, gone.count(), BROADCAST_IDS), "doc_id", "left_anti").select(*docs.columns)
+    """Documents that the classifier keeps, each row by its own verdict."""
+    return quality_classifier.QualityClassifier(docs, load(spark, sf_dir, "labels")).kept(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

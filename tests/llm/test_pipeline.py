@@ -63,3 +63,24 @@ def test_odd_rows(spark, tmp_path):
     for table in (docs, docs.limit(0)):
         out = staged(spark, tmp_path / str(table.count()), table)
         assert out[-1].count() <= 2 * table.count()
+
+
+def test_rejected_rows_go_by_their_own_verdict(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 600")
+    stage = corpus_pipeline.STAGES[0][1]
+    kept = {r["doc_id"] for r in stage(spark, docs, SF).collect()}
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert 0 < len(kept) < len(texts)
+    # The fit needs ids; the verdicts of copies without ids, or with one id for all, are those of the rows.
+    copies = docs.selectExpr("CAST(NULL AS BIGINT) AS doc_id", "text", "lang", "source", "n_chars").union(docs.selectExpr("CAST(-1 AS BIGINT)", "text", "lang", "source", "n_chars"))
+    got = [(r["doc_id"], r["text"]) for r in stage(spark, docs.union(copies), SF).collect()]
+    of = lambda i: sorted(t for d, t in got if d == i)
+    assert 0 < len(of(None)) < len(texts) and of(None) == of(-1) == sorted(t for d, t in got if d is not None and d >= 0)
+
+
+def test_rows_without_ids_reach_the_end(spark, tmp_path):
+    text = "a row without an id is mixed and encoded as any other row of its source is"
+    docs = spark.createDataFrame([(None, text, "en", "src0", len(text))] * 2 + [(-1, text, "en", "src0", len(text))], spark.read.parquet(f"{SF}/documents.parquet").schema)
+    out = [t.collect() for t in staged(spark, tmp_path, docs)]
+    assert [sum(r["doc_id"] is None for r in t) for t in out[:4]] == [2, 2, 2, 2]
+    assert any(r["doc_id"] is None for r in out[-1])

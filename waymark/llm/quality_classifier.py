@@ -22,8 +22,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
-from waymark.llm.common import _P, _P_INV, Words, _power, batch, chunks, clash_free, cut, mix, runs, small, texts_of
+from waymark.llm.common import _P, _P_INV, Words, _power, batch, chunks, clash_free, cut, mix, runs, small, stored, texts_of
 
 _U = np.uint64
 BUCKETS, BINS, STRENGTH, TRUST = 1 << 16, 400, 200.0, 0.5
@@ -134,9 +136,20 @@ class QualityClassifier:
 
     def classify(self, docs: DataFrame, host: str = "source", path: str = "lang") -> DataFrame:
         """(doc_id, host, path, evidence, score, kept) of every row; score: the posterior that it is good."""
-        rows = docs.select("doc_id", F.col(host).cast("string").alias("host"), F.col(path).cast("string").alias("path"), "text")
-        extra = [pa.field("doc_id", pa.int64()), pa.field("host", pa.string()), pa.field("path", pa.string())]
-        seen = cut(rows.mapInArrow(_evidence(self.weights, extra), "doc_id long, host string, path string, evidence double"))
+        return self._judged(docs, host, path, {}).select("doc_id", "host", "path", "evidence", "score", "kept")
+
+    def kept(self, docs: DataFrame, host: str = "source", path: str = "lang") -> DataFrame:
+        """The rows of docs that are kept, each by its own verdict, whether ids are null or repeat."""
+        beside = {c: c if c in ("doc_id", "text") else f"_{c}" for c in docs.columns}
+        return self._judged(docs, host, path, beside).where("kept").select(*[F.col(v).alias(c) for c, v in beside.items()])
+
+    def _judged(self, docs: DataFrame, host: str, path: str, beside: dict[str, str]) -> DataFrame:
+        """What `classify` gives, with columns of docs under other names, which go through Python and Parquet with their rows."""
+        more = {v: c for c, v in beside.items() if c not in ("doc_id", "text")}
+        rows = docs.select("doc_id", F.col(host).cast("string").alias("host"), F.col(path).cast("string").alias("path"), "text", *[F.col(c).alias(v) for v, c in more.items()])
+        kinds = [f for f in rows.schema if f.name != "text" or beside]
+        seen = rows.mapInArrow(_evidence(self.weights, [pa.field(f.name, to_arrow_type(f.dataType)) for f in kinds]), StructType(kinds).add("evidence", "double"))
+        seen = stored(seen) if beside else cut(seen)
         clamp = lambda c: F.least(F.greatest(c, F.lit(1e-6)), F.lit(1 - 1e-6))
         prior = min(max(self.prior, 1e-6), 1 - 1e-6)
         own = F.when(F.col("evidence").isNull(), F.lit(float(np.log(prior / (1 - prior))))).otherwise(F.col("evidence") * self.slope + self.shift)
@@ -148,4 +161,4 @@ class QualityClassifier:
         sites = paths.join(hosts, paths["host"].eqNullSafe(hosts["h"])).select("h", F.col("path").alias("q"), ((F.col("good") + STRENGTH * F.col("host_share")) / (F.col("n") + STRENGTH)).alias("share"))
         out = seen.join(sites, seen["host"].eqNullSafe(sites["h"]) & seen["path"].eqNullSafe(sites["q"]))
         odds = F.col("odds") + TRUST * (_logit(clamp(F.col("share"))) - _logit(world))
-        return out.select("doc_id", "host", "path", "evidence", (1 / (1 + F.exp(-odds))).alias("score")).withColumn("kept", F.col("score") >= 0.5)
+        return out.withColumn("score", 1 / (1 + F.exp(-odds))).withColumn("kept", F.col("score") >= 0.5)
