@@ -32,6 +32,20 @@ def test_ids_equal_the_library(spark):
     assert bpe.encode(texts) == lib.encode(texts, add_eos=True)
 
 
+def test_long_segments_equal_the_library_in_time():
+    import time
+
+    rng = random.Random(5)
+    lib = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    with open(MODEL, "rb") as f:
+        bpe = piece_bpe.PieceBpe(f.read())
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    texts = ["".join(rng.choices(x, k=n)) for x in (letters, letters.upper() + letters + "0123456789+/", "ab=-_#eé日𝒳th", "a", " a") for n in (511, 512, 513, 30_000)]
+    texts += ["".join(rng.choices(letters, k=1_000_000)), "".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(1_000_000))]
+    began = time.time()
+    assert bpe.encode(texts) == lib.encode(texts, add_eos=True) and time.time() - began < 60
+
+
 def test_forgetting_changes_nothing(monkeypatch):
     lib = sentencepiece.SentencePieceProcessor(model_file=MODEL)
     monkeypatch.setattr(piece_bpe, "REMEMBERED", 5)
