@@ -159,6 +159,57 @@ def test_time_grows_with_the_depth(unit):
     assert len(mincut_html.blocks(unit * 30000)) <= 60000 and time.time() - began < 5
 
 
+ARTICLE = ["A title", LONG, "Short one.", f"{LONG} End."]
+HOLDS = f"<h1>A title</h1><p>{LONG}</p><p>Short one.</p><p>{LONG} End.</p>"
+
+
+@pytest.mark.parametrize("names", ["post comments-open", "post hentry tag-notice", "post category-popular", "story legal", "post", "entry status-publish no-sidebar", "trending", "legal"])
+def test_names_of_states_and_subjects_drop_no_article(names):
+    page = f"<body class='{names}'><ul><li><a href=x>Home</a></li></ul><div class='{names}'>{HOLDS}</div><div class='post-comments'><p>{LONG}</p></div><div class=footer><p>{LONG}</p></div></body>"
+    assert mincut_html.extract(page).split("\n\n") == ARTICLE
+
+
+@pytest.mark.parametrize("tag", ["<p title=it's>", "<p title='it\"s'>", "<p it's>", '<p title="a>', "<p title = a'b/ c>", "<p a=b/>", "<p a='x>y'>", "<p =>"])
+def test_quotes_in_tags_lose_no_text(tag):
+    assert mincut_html.extract(f"<article>{tag}{LONG}</p><p>It's {LONG}</p></article>").split("\n\n") == [LONG, f"It's {LONG}"]
+
+
+def test_signs_that_begin_no_tag_are_text():
+    assert mincut_html.extract(f"<article><p>1 < 2, 3 <é 4 <3 {LONG}</p></article>") == f"1 < 2, 3 <é 4 <3 {LONG}"
+
+
+@pytest.mark.parametrize("inner", [f"<main>{HOLDS}</main>", f"<div>{HOLDS}</div>"])
+def test_a_form_around_the_page_drops_no_article(inner):
+    page = f"<form id=aspnetForm><div class=menu><a href=x>x</a></div>{inner}<footer><p>{LONG}</p></footer></form>"
+    assert mincut_html.extract(page).split("\n\n") == ARTICLE
+
+
+@pytest.mark.parametrize("unit", ["<a ", "<p title=it's ", "<p title=\"x' ", "<!", "<!--x", "</", "<a x='", "<a x=\"'", "<?x", "<", "<a b= ", "<x>"])
+def test_time_grows_with_broken_tags(unit):
+    import time
+
+    began = time.time()
+    mincut_html.extract(unit * 60000)
+    assert time.time() - began < 5
+
+
+#: Pages without names, where a block's own cues are wrong: (page, article, blocks that the cut labels against them).
+CUT_DECIDES = [
+    (f"<div><p>{LONG}</p><p><a href=x>See the other part</a></p><p>{LONG}</p></div>", [LONG, "See the other part", LONG], 1),
+    (f"<ul><li><a href=1>Home</a></li><li><a href=2>World</a></li><li>{LONG}</li><li><a href=3>Sport</a></li><li><a href=4>Mail</a></li></ul><div><p>{LONG} 2</p><p>{LONG}</p></div>", [f"{LONG} 2", LONG], 1),
+    (f"<div class='story legal'><p>{LONG}</p><p>Short one</p></div>", [LONG, "Short one"], 1),
+    (f"<div><p>{LONG}</p><p><a href=x>One link</a></p><p>{LONG}</p><p><a href=x>And one more</a></p><p>{LONG}</p></div>", [LONG, "One link", LONG, "And one more", LONG], 2),
+]
+
+
+@pytest.mark.parametrize("page, article, turned", CUT_DECIDES)
+def test_the_cut_is_right_where_blocks_alone_are_wrong(page, article, turned):
+    parts = mincut_html.blocks(page)
+    inside = mincut_html.labels(parts)
+    assert mincut_html.extract(page).split("\n\n") == article
+    assert sum(x != (b.evidence() > 0) for b, x in zip(parts, inside)) == turned
+
+
 def test_formulas_and_fallbacks_are_text():
     formula = "<math><semantics><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow><annotation encoding='application/x-tex'>x = 2</annotation><annotation-xml><ci>x</ci></annotation-xml></semantics></math>"
     media = "".join(f"<{n}><p>{LONG} {n}</p></{n}>" for n in ("object", "audio", "video", "canvas"))
