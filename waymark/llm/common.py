@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 #: Regular expression of a word, for Spark's and DuckDB's engines alike.
 WORD = r"[^\x20\x09-\x0D]+"
 CHUNK = 1 << 19
-BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 # Workers outlive their tasks: large arrays are to go back to the system when they are freed, not
 # to stay in allocators' pools beside the JVM's heap.  (-3: M_MMAP_THRESHOLD, -8: M_ARENA_MAX.)
@@ -137,27 +136,40 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Runs `df` and cuts its lineage with a reliable checkpoint in the cluster's shared folder.
+def shared(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    The folder is the session's spark.checkpoint.dir; only where none is set (tests on one
-    machine) a temporary one is made.
+    Only on one machine (a local master, as in tests) a temporary one is made where none is set.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="waymark-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="waymark-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Runs `df` and cuts its lineage with a reliable checkpoint in the shared folder."""
+    shared(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def beside(docs: DataFrame, *needed: str) -> tuple[DataFrame, list[str]]:
+    """docs with every column but the needed ones under a name of its own, and all names in order."""
+    names = [c if c in needed else f"_beside{i}" for i, c in enumerate(docs.columns)]
+    return docs.toDF(*names), names
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Writes a table into the checkpoint folder (dropped when the application ends) and reads it.
 
     For tables of many rows: Parquet takes a fraction of a checkpoint's disk.
     """
     spark = df.sparkSession
-    cut(spark.range(0))  # sets a folder where there is none
     sc, jvm = spark.sparkContext, spark._jvm
-    path = f"{sc.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    path = f"{shared(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(p)
@@ -169,15 +181,29 @@ def small(df: DataFrame, rows: int, most: int) -> DataFrame:
     return F.broadcast(df) if rows <= most else df
 
 
-def clash_free(df: DataFrame, *needed: str) -> DataFrame:
-    """Only the needed columns, so that further ones with clashing names do no harm.
+#: Rows of one key that a task joins, and salted keys at most.
+HOT, HOT_KEYS = 500, 500_000
+
+
+def hot_join(left: DataFrame, right: DataFrame, keys: list[str], by: str, how: str = "inner") -> DataFrame:
+    """left joined with right, which has few rows a key.
 
-    Where the session does not say otherwise, Arrow batches for Python are held to 1000 rows:
-    beside the JVM's heap, an executor needs memory for few texts at a time.
+    Keys of more than HOT of left's rows (of so many that there are HOT_KEYS of them at most) are
+    salted by the column `by`, and right's rows of these keys are repeated for each salt.
     """
-    conf = df.sparkSession.conf
-    if conf.get(BATCH_ROWS, "0") == "10000":
-        conf.set(BATCH_ROWS, "1000")
+    sizes = left.groupBy(*keys).agg(F.count("*").alias("_many")).where(F.col("_many") > HOT)
+    rows = left.count()
+    most = max(HOT, rows // HOT_KEYS)
+    hot = cut(sizes.where(F.col("_many") > most).select(*keys, F.ceil(F.col("_many") / most).alias("_salts")))
+    if not hot.count():
+        return left.join(right, keys, how)
+    salted = left.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(by), "_salts"), F.lit(0).cast("long"))).drop("_salts")
+    spread = right.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_salts", F.lit(1).cast("long")) - 1))).drop("_salts")
+    return salted.join(spread, [*keys, "_salt"], how).drop("_salt")
+
+
+def clash_free(df: DataFrame, *needed: str) -> DataFrame:
+    """Only the needed columns, so that further ones with clashing names do no harm."""
     return df.select(*[df[c] for c in needed])
 
 
