@@ -23,9 +23,10 @@ def corpus(seed):
     return rows
 
 
-@pytest.mark.parametrize("seed, held", [(1, 1_000_000), (2, 300)])
-def test_equals_brute_force(spark, seed, held, monkeypatch):
+@pytest.mark.parametrize("seed, held, group", [(1, 1_000_000, 1 << 14), (2, 300, 3), (3, 100, 40)])
+def test_equals_brute_force(spark, seed, held, group, monkeypatch):
     monkeypatch.setattr(substring_dedup, "HELD", held)
+    monkeypatch.setattr(substring_dedup, "GROUP", group)
     rows = corpus(seed)
     df = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, `group` int, window string")
     got = SubstringDedup().run(df).collect()
@@ -33,7 +34,16 @@ def test_equals_brute_force(spark, seed, held, monkeypatch):
     have = sorted(((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got), key=key)
     want = sorted(((i, n, n - len(k), hashlib.sha256(" ".join(k).encode()).hexdigest()) for i, n, k in repeats(rows, 50)), key=key)
     assert have == want
-    assert all(r["kept"] is not None and r["group"] == 1 for r in got)
+    assert all(r["kept"] is not None for r in got)
+
+
+def test_prefixes_are_as_long_as_groups_need(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "GROUP", 10)
+    # 30 suffixes share 16 words, 8 of them 32 too; 20 are one window; 5 stand alone.
+    paths = [(7 << 24) + (k // 8 << 12) + k for k in range(30)] + [1 << 60] * 20 + [k << 50 for k in range(1, 6)]
+    rows = spark.createDataFrame([(p, k if p < 1 << 60 else 9, k, 0, -1) for k, p in enumerate(paths)], "path long, window long, doc_id long, at long, last long")
+    got = SubstringDedup._grouped(rows).groupBy("group").count().collect()
+    assert sorted(r["count"] for r in got) == [1] * 5 + [6, 8, 8, 8, 20]
 
 
 def test_same_id_twice_and_empty_table(spark):
@@ -49,3 +59,12 @@ def test_stage_keeps_columns_and_clean_texts(spark):
     out = without_repeats(spark.createDataFrame(rows, "doc_id long, lang string, text string, n_chars long"))
     assert out.columns == ["doc_id", "lang", "text", "n_chars"]
     assert {r["doc_id"]: r["text"] for r in out.collect()} == {1: text, 2: "x y z", 4: "as\tit  is", 5: None}
+
+
+def test_columns_with_the_operators_names_come_back(spark):
+    text = " ".join(f"a{i}" for i in range(60))
+    names = ["marks", "n_words", "n_removed", "kept", "kept_sha256", "_d", "_text", "group", "owner"]
+    rows = [(i, text, *(-k for k in range(len(names)))) for i in (1, 2)] + [(3, "b c", *[None] * len(names))]
+    out = without_repeats(spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` int" for n in names)))
+    assert out.columns == ["doc_id", "text", *names]
+    assert sorted(map(tuple, out.collect())) == [rows[0], rows[2]]

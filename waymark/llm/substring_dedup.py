@@ -1,20 +1,22 @@
 """Substring dedup by prefix-partitioned suffix trees, cut at the depth of a window.
 
-A suffix of a document's word sequence, cut after `window` words, is a path of that depth in the
-suffix tree; a node at that depth with leaves of several documents is a repeat, and runs of such
-nodes at consecutive suffixes of one document are its maximal repeats.
-
-1. Prefix partition.  A suffix's group is named by the least hash among the `gram`-word grams of
-   its window (equal windows, equal groups; about one group for every 17 words).  Each
-   document's group names are counted over all documents; a group of one document has no repeat
-   and its subtree is never built.
-2. Subtrees.  A task first joins equal windows of its own documents: all leaves of a node but the
-   first document's are marked at once, so however common a passage is, a task sends each of its
-   windows on at most once for every HELD suffixes.  The rest are sorted by (group, window,
-   document): equal windows, the leaves below one node, lie together, and stream by, first document
-   first, with one node's state in memory.  So groups need not fit in memory; the whole window
-   splits a large one where a tree would need a longer prefix.
-3. Removal.  A leaf of a later document than its node's first marks its window's words; marks
+A suffix of a document's word sequence, cut after `window` words, is a way down the suffix tree
+to that depth; a node there with leaves of several documents is a repeat, and runs of such nodes at
+consecutive suffixes of one document are its maximal repeats.
+
+1. Candidates.  The least hash among the `gram`-word grams of a suffix's window names it (equal
+   windows, equal names; about one name for every 17 words).  Each document's names are
+   counted over all documents; suffixes whose name one document alone has cannot repeat and go into no tree.
+2. Prefix partition.  A suffix's path is a number whose leading bits hash its first 4 words, the
+   next ones its first 8, then 16, then 32.  Suffixes are counted by their first 4 words; a prefix of more than
+   GROUP suffixes (or as many as leave MOST_PREFIXES such prefixes) is lengthened, level by level, last to the
+   whole window, so groups have the size of a task's memory.
+3. Subtrees.  A group sorted by (path, window, document) is its subtree in depth-first order: a node is a run of
+   rows with one beginning, and the deep ones, of `window` words, stream by with one
+   node's state in memory.  Before, a task joins equal windows of its own documents: all leaves of a node
+   but the first document's are marked at once, so however common a passage is, a task sends
+   each of its windows on at most once for every HELD suffixes.
+4. Removal.  A leaf of a later document than its node's first marks its window's words; marks
    come back as intervals of starts, are gathered per document (bounded by its length) and
    applied to the text.
 
@@ -33,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import Words, batch, chunks, clash_free, cut, mix, runs, signed, small, texts_of, window_hash
+from waymark.llm.common import Words, batch, beside, chunks, clash_free, cut, hot_join, mix, runs, signed, small, stored, texts_of, window_hash
 
 _U = np.uint64
 WINDOW, GRAM = 50, 19
@@ -41,6 +43,8 @@ WINDOW, GRAM = 50, 19
 BROADCAST_VALUES = 4_000_000
 #: Suffixes that a task joins before it sends them on.
 HELD = 1_000_000
+#: Words of a path's levels and the bits that hash them; suffixes of a group, and longer prefixes at most.
+LEVELS, GROUP, MOST_PREFIXES = ((4, 24), (8, 16), (16, 12), (32, 12)), 1 << 14, 500_000
 
 
 def _least(x: np.ndarray, k: int) -> np.ndarray:
@@ -68,6 +72,15 @@ class Suffixes:
             n = int(b - a)
             self.digests.append((int(window_hash(w.hash[a:b], n)[0]), int(window_hash(other[a:b], n)[0])) if n else (0, 0))
 
+    def paths(self) -> np.ndarray:
+        """Of every suffix with a whole window, the hashes of its prefixes behind each other."""
+        out = np.zeros(len(self.windows), np.uint64)
+        for n, bits in LEVELS:
+            # A window shorter than a level is a prefix itself.
+            prefix = window_hash(self.words.hash, min(n, self.window))[: len(out)]
+            out = (out << _U(bits)) | (prefix >> _U(64 - bits))
+        return out
+
     def span(self, i: int) -> slice:
         a, b = int(self.bounds[i]), int(self.bounds[i + 1])
         return slice(a, max(a, b - self.window + 1))
@@ -113,7 +126,7 @@ def _repeated(batches):
         yield batch(schema, d, g)
 
 
-_LEAF = pa.schema([("group", pa.int64()), ("window", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int64()), ("last", pa.int64())])
+_LEAF = pa.schema([("path", pa.int64()), ("window", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int64()), ("last", pa.int64())])
 
 
 def _intervals(doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -127,15 +140,15 @@ def _intervals(doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 def _joined(held: list[tuple]):
     """Leaves of each node's first document, with last = -1; marked intervals of the others."""
-    group, window, doc, at = (np.concatenate(c) for c in zip(*held))
-    order = np.lexsort((doc, window, group))
-    group, window, doc, at = group[order], window[order], doc[order], at[order]
-    node = np.concatenate([[True], (group[1:] != group[:-1]) | (window[1:] != window[:-1])])
+    path, window, doc, at = (np.concatenate(c) for c in zip(*held))
+    order = np.lexsort((doc, window, path))
+    path, window, doc, at = path[order], window[order], doc[order], at[order]
+    node = np.concatenate([[True], (path[1:] != path[:-1]) | (window[1:] != window[:-1])])
     owner = doc[np.maximum.accumulate(np.where(node, np.arange(len(doc)), 0))]
     first, later = doc == owner, doc > owner
     for i in range(0, int(first.sum()), 50_000):
         part = slice(i, i + 50_000)
-        yield batch(_LEAF, group[first][part], window[first][part], doc[first][part], at[first][part], np.full(len(doc[first][part]), -1))
+        yield batch(_LEAF, path[first][part], window[first][part], doc[first][part], at[first][part], np.full(len(doc[first][part]), -1))
     doc, start, end = _intervals(doc[later], at[later])
     if len(doc):
         # Marks only travel along; their documents deal them out.
@@ -149,13 +162,13 @@ def _grown(window: int, gram: int):
             ids, names = x["doc_id"].to_pylist(), x["groups"]
             for first, part in chunks(texts_of(x["text"])):
                 s = Suffixes(part, window, gram)
+                paths = signed(s.paths())
                 for i in range(len(part)):
                     span = s.span(i)
                     wanted = names[first + i].values.to_numpy()
-                    own = signed(s.groups[span])
-                    hit = np.flatnonzero(np.isin(own, wanted))
+                    hit = np.flatnonzero(np.isin(signed(s.groups[span]), wanted))
                     if len(hit):
-                        out.append((own[hit], signed(s.windows[span])[hit], np.full(len(hit), ids[first + i]), hit + (_tag(s.digests[i]) << 32)))
+                        out.append((paths[span][hit], signed(s.windows[span])[hit], np.full(len(hit), ids[first + i]), hit + (_tag(s.digests[i]) << 32)))
                         many += len(hit)
             if many >= HELD:
                 yield from _joined(out)
@@ -167,11 +180,11 @@ def _grown(window: int, gram: int):
 
 
 def _nodes(batches):
-    """Intervals of suffixes that are leaves of a node which an earlier document has too."""
+    """Intervals of suffixes that are leaves of a deep node which an earlier document has too."""
     schema = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("first", pa.int64()), ("last", pa.int64())])
     node, owner = None, 0
     for x in batches:
-        g, w, d, at, last = (x[c].to_numpy() for c in ("group", "window", "doc_id", "at", "last"))
+        g, w, d, at, last = (x[c].to_numpy() for c in ("path", "window", "doc_id", "at", "last"))
         marks = last >= 0
         found = [(d[marks], at[marks], last[marks])]
         g, w, d, at = (c[~marks] for c in (g, w, d, at))
@@ -222,24 +235,48 @@ class SubstringDedup:
     def __init__(self, window: int = WINDOW, gram: int = GRAM):
         self.window, self.gram = window, gram
 
+    @staticmethod
+    def _grouped(leaves: DataFrame) -> DataFrame:
+        """leaves with `group`, the shortest prefix of their path that few enough share."""
+        most = max(GROUP, leaves.count() // MOST_PREFIXES)
+        group, shift, rest = None, 64, leaves.where("last < 0")
+        for level, (_, bits) in enumerate(LEVELS):
+            shift -= bits
+            prefix = F.shiftrightunsigned("path", shift) if shift else F.col("path")
+            name = f"long{level}"
+            # At most MOST_PREFIXES rows: each stands for more than `most` of the leaves.
+            large = cut(rest.groupBy(prefix.alias(name)).agg(F.count("*").alias("n")).where(F.col("n") > most).select(name))
+            here = F.xxhash64(F.lit(level), prefix)
+            if large.isEmpty():
+                return leaves.withColumn("group", here if group is None else group.otherwise(here))
+            leaves = leaves.join(F.broadcast(large), prefix == F.col(name), "left")
+            rest = rest.join(F.broadcast(large), prefix == F.col(name), "left_semi")
+            group = (F if group is None else group).when(F.col(name).isNull(), here)
+        return leaves.withColumn("group", group.otherwise(F.xxhash64("path", "window")))
+
     def marks(self, docs: DataFrame) -> DataFrame:
         """(doc_id, marks): intervals of window starts to remove, of each document that has any."""
         docs = clash_free(docs, "doc_id", "text").where("doc_id is not null")
         named = cut(docs.mapInArrow(_named(self.window, self.gram), "doc_id long, n_words long, d1 long, d2 long, groups array<long>").where(F.col("n_words") >= self.window))
         firsts = named.groupBy("n_words", "d1", "d2").agg(F.min("doc_id").alias("owner"))
-        named = named.join(firsts, ["n_words", "d1", "d2"])
+        named = hot_join(named, firsts, ["n_words", "d1", "d2"], "doc_id")
         tag = F.col("d1").bitwiseAND(F.lit(0x7FFFFFFF))
         copies = named.where("owner < doc_id").select("doc_id", tag.alias("tag"), F.lit(0).cast("long").alias("first"), (F.col("n_words") - self.window).alias("last"))
         spread = named.where("owner = doc_id").select("doc_id", F.explode("groups").alias("group"))
         shared = spread.repartition("group").sortWithinPartitions("group").mapInArrow(_repeated, "doc_id long, group long")
         wanted = cut(shared.groupBy("doc_id").agg(F.collect_set("group").alias("groups")))
         values = wanted.agg(F.sum(F.size("groups"))).first()[0] or 0
-        leaves = docs.join(small(wanted, values, BROADCAST_VALUES), "doc_id").mapInArrow(_grown(self.window, self.gram), "group long, window long, doc_id long, at long, last long")
-        found = leaves.repartition("group").sortWithinPartitions("group", "window", "doc_id").mapInArrow(_nodes, "doc_id long, tag long, first long, last long")
+        leaves = stored(docs.join(small(wanted, values, BROADCAST_VALUES), "doc_id").mapInArrow(_grown(self.window, self.gram), "path long, window long, doc_id long, at long, last long"))
+        grouped = self._grouped(leaves).repartition("group").sortWithinPartitions("group", "path", "window", "doc_id")
+        found = grouped.mapInArrow(_nodes, "doc_id long, tag long, first long, last long")
         return cut(found.union(copies).groupBy("doc_id").agg(F.collect_list(F.struct("tag", "first", "last")).alias("marks")))
 
     def run(self, docs: DataFrame) -> DataFrame:
-        """docs without their text, with n_words, n_removed, kept_sha256 and kept (words joined by a space)."""
+        """(doc_id, n_words, n_removed, kept_sha256, kept: words joined by a space) of docs(doc_id, text)."""
+        return self._cut(clash_free(docs, "doc_id", "text"))
+
+    def _cut(self, docs: DataFrame) -> DataFrame:
+        """docs, whose other columns have names of their own, without their text and with what `run` gives."""
         marks = self.marks(docs)
         values = marks.agg(F.sum(F.size("marks"))).first()[0] or 0
         both = docs.join(small(marks, values, BROADCAST_VALUES).withColumnRenamed("doc_id", "_d"), F.col("doc_id") == F.col("_d"), "left").drop("_d")
@@ -250,9 +287,10 @@ class SubstringDedup:
 
 def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs with repeated windows cut out of the texts; those of which nothing is left are dropped."""
-    columns = docs.columns
-    out = SubstringDedup(window).run(docs.withColumn("_text", F.col("text"))).where("n_removed = 0 or n_removed < n_words")
+    columns, kinds = docs.columns, docs.schema
+    docs, names = beside(docs, "doc_id", "text", "n_chars")
+    out = SubstringDedup(window)._cut(docs.withColumn("_text", F.col("text"))).where("n_removed = 0 or n_removed < n_words")
     out = out.withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("_text")))
     if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*columns)
+        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("kept").cast(kinds["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*[F.col(n).alias(c) for n, c in zip(names, columns)])
