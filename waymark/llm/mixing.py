@@ -5,12 +5,13 @@ blocks of equal tokens.  Slot i of the schedule takes the van der Corput point o
 whose interval of cumulative target weight holds the point fills the slot with its next block,
 starting over after its last one, until its target is reached; its last slot may be cut short.
 Any prefix of the schedule has each source near its share.  Slots and documents
-are joined by block, and a document is taken as often as slots hold its words.
+are joined by block, and a document is taken as often as slots hold its words.  The mixed rows
+come in the order of their first slots, in runs of up to RUN slots and RUN_TOKENS, each in one file.
 
 Sources are weighed 3, 1, 2, repeating, in code-point order, null last; a target never exceeds
 `most` times its source's size, and the excess goes to the others by weight.  Null texts and
 texts without words have size 0 and are not taken; with no words at all every target is 0.  Rows
-that repeat an id are laid one after another.  Positions come from sums over (source, bucket of
+that repeat an id are laid one after another.  Other columns go with their rows, whatever their names.  Positions come from sums over (source, bucket of
 the hash), then within a bucket, so no task gathers a source.
 """
 
@@ -20,11 +21,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from waymark.llm.common import WORD, clash_free, cut
+from waymark.llm.common import WORD, beside, clash_free, cut
 
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
 #: Slots that the schedule has about, documents in a bucket of the shuffled order, bits of a point.
 SLOTS, BUCKET_ROWS, BITS = 1 << 17, 20_000, 30
+#: Tokens of a slot at most; slots and tokens that are written together at most.
+SLOT_TOKENS, RUN, RUN_TOKENS = 1_000_000, 256, 10_000_000
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -63,7 +66,7 @@ class Mix:
         sized = cut(sizes(docs).withColumn("key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
         self.goals = cut(targets(sized, weights, share, most))
         rows, wanted = sized.count(), self.goals.agg(F.sum("target")).first()[0] or 0.0
-        self.block = max(1, round(wanted / slots))
+        self.block = max(1, min(SLOT_TOKENS, round(wanted / slots)))
         self.layout = self._laid(sized, max(1, rows // BUCKET_ROWS))
         self.slots = self._schedule(sized.sparkSession, wanted)
 
@@ -130,28 +133,36 @@ class Mix:
         return met.select("slot", "turn", "source", "doc_id", "start", "size", (F.greatest("start", "lo") - F.col("start")).alias("first_word"), words.alias("words"))
 
     def taken(self) -> DataFrame:
-        """The layout with `taken`, and its `turns` of the whole document and `part` of one more."""
-        sums = self.stream().groupBy("source", "doc_id", "start").agg(F.sum("words").alias("taken"))
-        sums = sums.select(F.col("source").alias("s"), F.col("doc_id").alias("d"), F.col("start").alias("b"), "taken")
+        """The layout with `taken`, its `turns` of the whole document and `part` of one more, and
+        `slots`: of each of these, the slot it begins in."""
+        per = self.stream().groupBy("source", "doc_id", "start", "turn").agg(F.sum("words").alias("words"), F.min("slot").alias("slot"))
+        # A document has as many turns as its source's line is gone through: a bound of its own.
+        sums = per.groupBy("source", "doc_id", "start").agg(F.sum("words").alias("taken"), F.array_sort(F.collect_list(F.struct("turn", "slot"))).alias("at"))
+        sums = sums.select(F.col("source").alias("s"), F.col("doc_id").alias("d"), F.col("start").alias("b"), "taken", F.transform("at", lambda x: x["slot"]).alias("slots"))
         # Documents of size 0 share their neighbour's start; they are not taken.
         same = self.layout["source"].eqNullSafe(sums["s"]) & self.layout["doc_id"].eqNullSafe(sums["d"]) & (self.layout["start"] == sums["b"]) & (self.layout["size"] > 0)
         out = self.layout.join(sums, same, "left").drop("s", "d", "b").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
         return out.withColumn("turns", F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(0).cast("long")).withColumn("part", F.col("taken") - F.col("turns") * F.col("size"))
 
 
-def mix_documents(docs: DataFrame, **options) -> DataFrame:
-    """docs as the mix takes them: whole copies for whole turns, and the first words for a part."""
-    taken = Mix(docs, **options).taken().select(F.col("doc_id").alias("_d"), F.col("size").alias("_s"), "turns", "part", F.row_number().over(W.partitionBy("doc_id", "size").orderBy("start")).alias("_k"))
+def mix_documents(docs: DataFrame, slot: str | None = None, **options) -> DataFrame:
+    """docs as the mix takes them, in the schedule's order: whole copies for whole turns, and the first
+    words for a part; with the slot that a row begins in as a last column, if it gets a name."""
+    columns, kinds = docs.columns, docs.schema
+    docs, names = beside(docs, "doc_id", "text", "source", "n_chars")
+    mix = Mix(docs, **options)
+    run = max(1, min(RUN, RUN_TOKENS // mix.block))
+    taken = mix.taken().select(F.col("doc_id").alias("_d"), F.col("size").alias("_s"), "turns", "part", "slots", F.row_number().over(W.partitionBy("doc_id", "size").orderBy("start")).alias("_k"))
     own = docs.withColumn("_size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
     # Rows that share an id and a size are told apart by their place among themselves.
     own = own.withColumn("_nth", F.row_number().over(W.partitionBy("doc_id", "_size").orderBy("text")))
-    both = own.join(taken, own["doc_id"].eqNullSafe(taken["_d"]) & (F.col("_size") == F.col("_s")) & (F.col("_nth") == F.col("_k"))).withColumn("size", F.col("_s"))
+    both = own.join(taken, own["doc_id"].eqNullSafe(taken["_d"]) & (F.col("_size") == F.col("_s")) & (F.col("_nth") == F.col("_k")))
     first = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)), F.lit(1), F.col("part").cast("int")), " ")
-    fields = {"text": (F.col("text"), first)}
-    if "n_chars" in docs.columns:
-        fields["n_chars"] = (F.col("n_chars"), F.length(first).cast(docs.schema["n_chars"].dataType))
-    whole, part = (F.struct(*[v[k].alias(c) for c, v in fields.items()]) for k in (0, 1))
-    # All copies of a document come from its one row, so the texts are shuffled once.
-    copies = F.concat(F.array_repeat(whole, F.col("turns").cast("int")), F.when(F.col("part") > 0, F.array(part)).otherwise(F.array_repeat(whole, F.lit(0))))
-    out = both.where("size > 0").withColumn("_copy", F.explode(copies))
-    return out.select(*[F.col(f"_copy.{c}").alias(c) if c in fields else F.col(c) for c in docs.columns])
+    # All copies of a document come from its one row, so the join shuffles the texts once.
+    out = both.select("*", F.posexplode("slots").alias("_turn", "_slot")).withColumn("_part", F.col("_turn") >= F.col("turns"))
+    out = out.withColumn("text", F.when(F.col("_part"), first).otherwise(F.col("text")))
+    if "n_chars" in columns:
+        out = out.withColumn("n_chars", F.when(F.col("_part"), F.length("text").cast(kinds["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    # Runs of slots hold equal tokens, so no task gets more than its share.
+    out = out.select(*names, "_slot").repartition(F.floor(F.col("_slot") / run)).sortWithinPartitions("_slot", "doc_id")
+    return out.select(*[F.col(n).alias(c) for n, c in zip(names, columns)], *([F.col("_slot").alias(slot)] if slot else []))
