@@ -8,7 +8,8 @@ escapes of turns whose head has the `!` flag.
 Each conversation is first rendered plainly and parsed again.  Turns whose conversation comes
 back different (their texts or roles hold control strings) are escaped, which puts a backslash
 into every control string, flagged, rendered and parsed anew; escaped content holds no control
-string, so the second pass is identical always, and `check` proves it for every conversation.
+string, so the second pass is identical always; `identical` tells it of every conversation, and
+`proven` ends a run in which one is not.
 
 Rows are turns: ordered by turn, then role and text, nulls first; null roles and texts count as
 empty.  All rows of a null conv_id are one conversation.  Further columns are ignored.
@@ -76,6 +77,12 @@ def format_chats(turns: DataFrame) -> DataFrame:
     return chats.select("conv_id", "formatted", "parsed", (F.col("parsed") == F.col("turns")).alias("identical"))
 
 
+def proven(chats: DataFrame) -> DataFrame:
+    """chats; a conversation that does not come back from its formatted text ends the run with an error."""
+    error = F.raise_error(F.concat(F.lit("conversation does not come back: "), F.coalesce(F.col("conv_id").cast("string"), F.lit("null"))))
+    return chats.withColumn("formatted", F.when(F.col("identical"), F.col("formatted")).otherwise(error))
+
+
 def loss_spans(parsed: Column, role: str = "assistant") -> Column:
     """The texts under the loss mask, in order."""
     return F.transform(F.filter(parsed, lambda t: t["role"] == role), lambda t: t["text"])

@@ -10,8 +10,20 @@ from pyspark.sql import functions as F
 from waymark.llm import chat_format, lattice_lm, mincut_html, mixing, ngram_jaccard, piece_bpe, quality_classifier, quality_rules, spot_signatures, substring_dedup
 from waymark.llm.common import load
 
-#: Vocabulary of op6 and op5; a folder of the machine that starts the query.
-TOKENIZERS = os.environ.get("WAYMARK_TOKENIZERS", "/opt/tokenizers")
+
+
+def _tokenizers() -> str:
+    """The folder of public vocabularies on the machine that starts the query."""
+    if folder := os.environ.get("WAYMARK_TOKENIZERS"):
+        return folder
+    try:
+        import public_tokenizers
+    except ModuleNotFoundError:
+        return "/opt/tokenizers"
+    return os.path.dirname(public_tokenizers.path("piece_bpe_32k.model"))
+
+
+TOKENIZERS = _tokenizers()
 
 
 def sha(column) -> F.Column:
@@ -36,7 +48,7 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     kinds = turns.schema
     planted = spark.range(2).select(F.lit(-7).cast(kinds["conv_id"].dataType).alias("conv_id"), F.col("id").cast(kinds["turn"].dataType).alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PLANTED).alias("text"))
-    chats = chat_format.format_chats(turns.unionByName(planted)).withColumn("loss", F.array_join(chat_format.loss_spans(F.col("parsed")), ""))
+    chats = chat_format.proven(chat_format.format_chats(turns.unionByName(planted))).withColumn("loss", F.array_join(chat_format.loss_spans(F.col("parsed")), ""))
     whole = F.array_join(F.transform("parsed", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return chats.select("conv_id", F.size("parsed").cast("long").alias("n_turns"), sha(whole).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), sha("loss").alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
 
@@ -49,7 +61,7 @@ chats AS (
   SELECT conv_id, count(*) AS n_turns,
     string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS whole,
     coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS loss,
-    bool_or(contains(text, ' </turn>' || chr(10)) OR contains(role, ': ') OR contains(role, ' </turn>' || chr(10)) OR role LIKE '%!') AS escaped,
+    bool_or(contains(' ' || text, ' </turn>' || chr(10)) OR contains(role, ': ') OR contains(' ' || role, ' </turn>' || chr(10)) OR role LIKE '%!') AS escaped,
     sum(length(role) + length(text) + 15) AS plain_chars,
     sum(length(regexp_replace(role || text, '[^\\/:!#]', '', 'g')) + 1) AS more
   FROM rows GROUP BY conv_id)
