@@ -22,9 +22,10 @@ from pyspark.sql import functions as F
 from waymark.llm.common import clash_free, small
 
 CHAIN = 3
-#: Documents in a bucket of consecutive ids, quantiles that the buckets are cut from.
-BUCKET_ROWS, QUANTILES = 2000, 64
-BROADCAST_BUCKETS = 1_000_000
+#: Documents in a bucket of consecutive ids, buckets that are broadcast at most, and (groups of)
+#: quantiles that the buckets are cut from: ids far from all others spoil the buckets of one.
+BUCKET_ROWS, BROADCAST_BUCKETS = 2000, 1_000_000
+GROUPS, QUANTILES = 32, 32 * 32
 
 #: Common words of English, French, German and Spanish.
 ANCHORS = """
@@ -102,19 +103,25 @@ def in_order(docs: DataFrame, *columns: str):
     """(rows, window): a lead over the window finds the row with the next id, the first's for the last.
 
     Null ids come first; rows with one id follow each other in order of the columns.  Ids are cut
-    into buckets of about BUCKET_ROWS rows (quantiles, then equal steps); each bucket also gets
-    the first row of the bucket after it, marked _ghost, so no task orders more than a bucket.
+    into buckets of about BUCKET_ROWS rows, or as many as keep buckets at BROADCAST_BUCKETS
+    (quantiles, then equal steps); each bucket also gets the first row of the bucket after it,
+    marked _ghost, so no task orders more than a bucket.
     """
     docs = clash_free(docs, "doc_id", *columns)
-    shape = docs.agg(F.count("*").alias("n"), F.percentile_approx("doc_id", [i / QUANTILES for i in range(QUANTILES)], 10_000).alias("q"), F.max("doc_id").alias("top")).first()
+    shape = docs.agg(F.count("*").alias("n"), F.percentile_approx("doc_id", [i / QUANTILES for i in range(QUANTILES)], 20_000).alias("q"), F.max("doc_id").alias("top")).first()
     lows = sorted(set(shape["q"] or [0]))
     highs = lows[1:] + [(shape["top"] or 0) + 1]
-    pieces = max(1, -(-shape["n"] // len(lows) // BUCKET_ROWS))
+    pieces = max(1, -(-shape["n"] // len(lows) // max(BUCKET_ROWS, shape["n"] // BROADCAST_BUCKETS)))
     steps = [max(1, -(-(h - lo) // pieces)) for lo, h in zip(lows, highs)]
-    ranges = F.array(*[F.lit(x).cast("long") for x in lows])
-    r = F.greatest(F.size(F.filter(ranges, lambda x: x <= F.col("doc_id"))), F.lit(1))
-    step = F.element_at(F.array(*[F.lit(x).cast("long") for x in steps]), F.col("_r"))
-    placed = docs.withColumn("_r", r).withColumn("_bucket", F.coalesce(F.col("_r") * (1 << 40) + F.greatest(F.floor((F.col("doc_id") - F.element_at(ranges, F.col("_r"))) / step), F.lit(0)), F.lit(-1).cast("long"))).drop("_r")
+    # Quantiles stand in groups, so that a row is held against two short lists, not against all.
+    groups = [list(range(i, min(i + GROUPS, len(lows)))) for i in range(0, len(lows), GROUPS)]
+    longs = lambda values: F.array(*[F.lit(x).cast("long") for x in values])
+    below = lambda list_: F.greatest(F.size(F.filter(list_, lambda x: x <= F.col("doc_id"))), F.lit(1))
+    placed = docs.withColumn("_g", below(longs([lows[g[0]] for g in groups])))
+    of_group = lambda values: F.element_at(F.array(*[longs([values[i] for i in g]) for g in groups]), F.col("_g"))
+    placed = placed.withColumn("_r", below(of_group(lows)))
+    step = F.greatest(F.floor((F.col("doc_id") - F.element_at(of_group(lows), F.col("_r"))) / F.element_at(of_group(steps), F.col("_r"))), F.lit(0))
+    placed = placed.withColumn("_bucket", F.coalesce((F.col("_g") * GROUPS + F.col("_r")) * (1 << 40) + step, F.lit(-1).cast("long"))).drop("_g", "_r")
     firsts = placed.groupBy("_bucket").agg(F.min("doc_id").alias("_first"))
     w = W.orderBy("_bucket")
     last = F.max("_bucket").over(W.orderBy(F.lit(1)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
