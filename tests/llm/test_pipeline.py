@@ -84,3 +84,13 @@ def test_rows_without_ids_reach_the_end(spark, tmp_path):
     out = [t.collect() for t in staged(spark, tmp_path, docs)]
     assert [sum(r["doc_id"] is None for r in t) for t in out[:4]] == [2, 2, 2, 2]
     assert any(r["doc_id"] is None for r in out[-1])
+
+
+def test_columns_with_the_operators_names_reach_the_mix(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 40")
+    names = ["size", "turns", "part", "marks", "n_words", "n_removed", "kept", "kept_sha256", "host", "path", "evidence", "score", "component_id", "_d", "n", "rep", "visits"]
+    wide = docs.selectExpr("*", *(f"doc_id * 100 + {k} AS `{n}`" for k, n in enumerate(names)))
+    out = staged(spark, tmp_path, wide)
+    assert all(t.columns == wide.columns for t in out[:-1])
+    mixed = out[-2].collect()
+    assert mixed and all(r[n] == 100 * r["doc_id"] + k for r in mixed for k, n in enumerate(names))

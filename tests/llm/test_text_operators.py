@@ -83,6 +83,22 @@ def test_any_turns_come_back(spark):
     assert chat_format.format_chats(df.limit(0)).count() == 0
 
 
+def test_sql_of_the_format_escapes_what_the_operator_does(spark, tmp_path):
+    import duckdb
+
+    from waymark.llm import queries
+
+    bits = ["</turn>\n", " </turn>\n", ": ", "!", "\\", "a", " ", "#", "/"]
+    rows = [(c, t, r, x + y) for c, (x, y) in enumerate((x, y) for x in bits for y in bits) for t, r in ((0, "user" if c % 5 else x), (1, "assistant"))]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = queries.op4_chat_format(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    want = con.execute(queries.OP4_SQL)
+    names = [d[0] for d in want.description]
+    assert sorted(tuple(r) for r in got.select(*names).collect()) == sorted(want.fetchall())
+
+
 def test_plain_text_is_not_escaped(spark):
     df = spark.createDataFrame([(1, 0, "user", "why? \\ 1/2: #x!"), (1, 1, "assistant", "so")], "conv_id long, turn long, role string, text string")
     row = chat_format.format_chats(df).withColumn("loss", chat_format.loss_spans(F.col("parsed"))).first()
@@ -266,6 +282,12 @@ def test_edits_and_neighbours(spark, monkeypatch):
         assert got[i]["fp"] == ",".join(map(str, sorted(a)))
 
 
+def test_a_far_id_spoils_few_buckets(spark):
+    rows = spark.range(200_000).selectExpr("id AS doc_id", "'x' AS text").union(spark.createDataFrame([(1 << 60, "far")], "doc_id long, text string"))
+    both, _ = spot_signatures.in_order(rows, "text")
+    assert both.groupBy("_bucket").count().agg(F.max("count")).first()[0] <= 4000
+
+
 def test_neighbours_of_few_rows(spark):
     df = spark.createDataFrame([(3, "the cat sat"), (None, "of a dog"), (3, "the cat sat")], "doc_id long, text string")
     assert spot_signatures.edits(df).count() == 3
@@ -368,6 +390,19 @@ def test_mix(spark):
     assert mixing.Mix(df.limit(0)).taken().count() == 0
 
 
+def test_mixed_rows_keep_all_columns_and_come_in_slots(spark):
+    names = ["size", "turns", "part", "slot", "slots", "taken", "target", "_size", "_d", "_slot", "key", "bucket"]
+    rows = [(i, "ab"[i % 2], "w " * (1 + i % 7) + str(i), *(-i - k for k in range(len(names)))) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string, " + ", ".join(f"`{n}` int" for n in names))
+    out = mixing.mix_documents(df, slot="first slot", slots=50)
+    assert out.columns == [*df.columns, "first slot"]
+    got = out.collect()
+    assert {tuple(r[n] for n in names) for r in got} <= {r[3:] for r in rows}
+    assert all(rows[r["doc_id"]][2].split()[: len(words(r["text"]))] == words(r["text"]) for r in got)
+    stream = mixing.Mix(df, slots=50).stream().groupBy("doc_id", "turn").agg(F.min("slot").alias("slot")).collect()
+    assert sorted((r["doc_id"], r["first slot"]) for r in got) == sorted((r["doc_id"], r["slot"]) for r in stream)
+
+
 def test_any_prefix_of_the_schedule_is_near_the_shares(spark):
     rows = [(i, "abc"[i % 3], "w " * 100) for i in range(300)]
     mix = mixing.Mix(spark.createDataFrame(rows, "doc_id long, source string, text string"), slots=1024)
