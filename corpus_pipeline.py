@@ -8,7 +8,7 @@ the mix is encoded.
 
 Rows without an id: the classifier judges them as any other; they are nobody's near copy and
 neither remove nor lose a passage, as both stages tell documents by their ids; they are mixed and
-encoded, with a null id.
+encoded, with a null id.  Further columns go through all stages but the last, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.llm import mixing, ngram_jaccard, piece_bpe, quality_classifier, substring_dedup
-from waymark.llm.common import cut, load
+from waymark.llm.common import load, shared
 from waymark.llm.queries import TOKENIZERS
 
 
@@ -56,8 +56,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut(spark.range(0))  # sets a checkpoint folder where there is none
-    folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared(spark)}/pipeline-{uuid.uuid4().hex}"
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
     docs = load(spark, sf_dir, "documents")
