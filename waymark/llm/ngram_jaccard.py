@@ -9,7 +9,10 @@ can be shuffled:
    size class, so of d + 1 or more groups at least one holds the same shingles in both.  Each
    set is filed under (class, group, content of the group), once per group; sets that meet
    nowhere are not linked.  A set with so many empty groups that the agreeing ones might all be
-   empty is filed under its smallest shingles too (prefix filter), so no pair is lost.
+   empty is filed under its smallest shingles too (prefix filter), so no pair is lost.  There are
+   more groups than d + 1, so linked sets agree in several; each set may leave as many but one
+   of its subtrees, and leaves the largest: the smallest one that both share, neither leaves.
+   Subtrees that then hold the same documents are one.
 2. Families.  Only points, a few bytes each, travel here.  In each subtree the bound of summed
    minima is taken between its smallest document and every other; pairs that it lets through join
    documents to families.  Where a subtree's members still belong to several families, a packed
@@ -33,15 +36,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from waymark.llm.common import Words, batch, chunks, clash_free, components, cut, mix, runs, signed, small, stored, texts_of, window_hash
+from waymark.llm.common import Words, batch, chunks, clash_free, components, cut, hot_join, mix, runs, signed, small, stored, texts_of, window_hash
 
 _U = np.uint64
 #: Least and most coordinates of a point, and shingles a coordinate stands for (random sets of so many
 #: have a bound far below any threshold of near copies); members that a block of a subtree holds,
 #: shingles that a block of a family holds; rows that are broadcast at most.
 LEAST, MOST, EACH, BLOCK, BLOCK_SHINGLES, BROADCAST_ROWS = 32, 4096, 4, 4096, 500_000, 1_000_000
+#: One group more than are needed for every so many differences.
+SLACK = 4
 
 
 def shingle_sets(texts: list[bytes], size: int) -> Iterator[np.ndarray]:
@@ -76,23 +82,25 @@ class Classes:
         for k in own:
             d = self.differ(2 * (self.first[k + 1] - 1))
             if d:
-                out.append((k, d, d + 1 + max(1, d // 16)))
+                out.append((k, d, d + 1 + max(1, d // SLACK)))
         return out
 
     def linked(self, common: int, a: int, b: int) -> bool:
         return self.den * common >= self.num * (a + b - common)
 
-    def signatures(self, s: np.ndarray) -> np.ndarray:
-        out, mixed = [], mix(s + _U(0x5851F42D4C957F2D))
+    def signatures(self, s: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
+        """For each class of a set, what it is filed under, and how many of these it may leave."""
+        mixed = mix(s + _U(0x5851F42D4C957F2D))
         for c, d, g in self.of(len(s)):
             group = ((s >> _U(32)) * _U(g)) >> _U(32)
             at = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-            out.append(mix(np.add.reduceat(mixed, at) + mix(group[at] + _U(c << 40)) * _U(3)))
-            if g - len(at) >= g - d:
+            out = mix(np.add.reduceat(mixed, at) + mix(group[at] + _U(c << 40)) * _U(3))
+            # Of g groups d may differ, and of the others as many are empty as the set has empty ones.
+            if len(at) <= d:
                 prefix = len(s) - -(-len(s) * self.num // self.den) + 1
-                out.append(mix(mixed[:prefix] ^ _U(0xD1B54A32D192ED03 + c)))
-        # 48 bits: a clash only makes one pair more to bound, and shorter keys are shuffled.
-        return np.concatenate(out) >> _U(16) if out else np.empty(0, np.uint64)
+                out = np.concatenate([out, mix(mixed[:prefix] ^ _U(0xD1B54A32D192ED03 + c))])
+            # 48 bits: a clash only makes one pair more to bound, and shorter keys are shuffled.
+            yield out >> _U(16), max(0, len(at) - d - 1)
 
 
 def _digests(size: int):
@@ -111,42 +119,48 @@ def _digests(size: int):
 
 
 def _filed(size: int, num: int, den: int):
-    schema = pa.schema([("sig", pa.int64()), ("doc_id", pa.int64())])
+    """(sig, doc_id, file, spare): `file` is one class of one text, which may leave `spare` of its subtrees."""
+    schema = pa.schema([("sig", pa.int64()), ("doc_id", pa.int64()), ("file", pa.int32()), ("spare", pa.int32())])
 
     def run(batches):
         classes = Classes(num, den)
         for x in runs(batches):
-            ids, sigs, whose, held = x["doc_id"].to_numpy(zero_copy_only=False).astype(np.int64), [], [], 0
+            ids, held, many = x["doc_id"].to_numpy(zero_copy_only=False).astype(np.int64), [], 0
             for i, s in enumerate(shingle_sets(texts_of(x["text"]), size)):
-                if len(s):
-                    sigs.append(classes.signatures(s))
-                    whose.append(np.full(len(sigs[-1]), ids[i]))
-                    held += len(sigs[-1])
-                if held > 200_000:
-                    yield batch(schema, signed(np.concatenate(sigs)), np.concatenate(whose))
-                    sigs, whose, held = [], [], 0
-            if held:
-                yield batch(schema, signed(np.concatenate(sigs)), np.concatenate(whose))
+                if not len(s):
+                    continue
+                own = int(mix(s).sum(dtype=np.uint64) & _U(0x3FFFFFFF))
+                for k, (sigs, spare) in enumerate(classes.signatures(s)):
+                    held.append((signed(sigs), np.full(len(sigs), ids[i]), np.full(len(sigs), 2 * own + k, np.int64).astype(np.int32), np.full(len(sigs), spare, np.int32)))
+                    many += len(sigs)
+                if many > 200_000:
+                    yield batch(schema, *map(np.concatenate, zip(*held)))
+                    held, many = [], 0
+            if many:
+                yield batch(schema, *map(np.concatenate, zip(*held)))
 
     return run
 
 
 def _shared(batches):
-    """Of rows sorted by (sig, doc_id), those whose sig has another row, with its first document."""
-    schema = pa.schema([("sig", pa.int64()), ("doc_id", pa.int64()), ("entry", pa.int64())])
-    sig, doc, entry, open_ = np.empty(0, np.int64), np.empty(0, np.int64), 0, False
+    """Of rows sorted by sig, those whose sig has another row."""
+    schema = pa.schema([("sig", pa.int64()), ("doc_id", pa.int64()), ("file", pa.int32()), ("spare", pa.int32())])
+    last, open_ = None, False
     for x in batches:
-        sig, doc = np.concatenate([sig, x["sig"].to_numpy()]), np.concatenate([doc, x["doc_id"].to_numpy()])
+        if not x.num_rows:
+            continue
+        x = x.select(schema.names)
+        if last is not None:
+            x = pa.Table.from_batches([last, x]).combine_chunks().to_batches()[0]
+        sig = x["sig"].to_numpy()
         same = sig[1:] == sig[:-1]
         keep = np.concatenate([[open_], same]) | np.concatenate([same, [False]])
-        first = np.maximum.accumulate(np.where(np.concatenate([[not open_], ~same]), np.arange(len(sig)), -1))
-        entries = np.where(first >= 0, doc[first], entry)
-        if keep[:-1].any():
-            yield batch(schema, sig[:-1][keep[:-1]], doc[:-1][keep[:-1]], entries[:-1][keep[:-1]])
         # The last row waits for the next batch; what it belongs to is known if it continues a run.
-        sig, doc, entry, open_ = sig[-1:], doc[-1:], entries[-1], bool(keep[-1])
+        if keep[:-1].any():
+            yield batch(schema, *(c.to_numpy()[:-1][keep[:-1]] for c in x.columns))
+        last, open_ = x.slice(len(sig) - 1), bool(keep[-1])
     if open_:
-        yield batch(schema, sig, doc, [entry])
+        yield batch(schema, *(c.to_numpy() for c in last.columns))
 
 
 def dims_for(n: int) -> int:
@@ -352,20 +366,26 @@ class NgramJaccardJoin:
 
     def directory(self, docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         """nodes(doc_id, n, rep) of all rows, points(doc_id, point) of the sets, members(sig, doc_id,
-        entry) of subtrees with several documents, of which entry is the smallest."""
+        entry, many) of subtrees with several documents, of which entry is the smallest."""
         docs = clash_free(docs, "doc_id", "text")
         raw = cut(docs.mapInArrow(_digests(self.size), "doc_id long, n long, d1 long, d2 long, point binary"))
         reps = raw.where("n > 0 and doc_id is not null").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"))
-        nodes = cut(raw.drop("point").join(reps, ["n", "d1", "d2"], "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep")))
+        nodes = cut(hot_join(raw.drop("point"), reps, ["n", "d1", "d2"], "doc_id", "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep")))
         # A document goes only if all texts under its id are copies of smaller documents'.
         copies = cut(nodes.where("doc_id is not null").groupBy("doc_id").agg(F.bool_and(F.col("rep") < F.col("doc_id")).alias("copy")).where("copy").select("doc_id"))
         own = docs.where("doc_id is not null").join(small(copies, copies.count(), BROADCAST_ROWS), "doc_id", "left_anti")
-        filed = own.select("doc_id", "text").mapInArrow(_filed(self.size, self.num, self.den), "sig long, doc_id long")
-        members = filed.repartition("sig").sortWithinPartitions("sig", "doc_id").mapInArrow(_shared, "sig long, doc_id long, entry long")
-        return nodes, raw.where("n > 0").select("doc_id", "point").distinct(), stored(members)
+        filed = own.select("doc_id", "text").mapInArrow(_filed(self.size, self.num, self.den), "sig long, doc_id long, file int, spare int")
+        met = stored(filed.repartition("sig").sortWithinPartitions("sig").mapInArrow(_shared, "sig long, doc_id long, file int, spare int"))
+        sizes = met.groupBy("sig").agg(F.count("*").alias("rows"))
+        largest = W.partitionBy("doc_id", "file").orderBy(F.desc("rows"), "sig")
+        stay = stored(hot_join(met, sizes, ["sig"], "doc_id").withColumn("place", F.row_number().over(largest)).where("place > spare").select("sig", "doc_id").distinct())
+        # Subtrees of the same documents are one: it is known by its members' least, number and 128 bits of their hashes.
+        known = [F.min("doc_id").alias("entry"), F.count("*").alias("many"), *[F.bit_xor(F.xxhash64("doc_id", F.lit(k))).alias(f"h{k}") for k in (0, 1)]]
+        entries = stay.groupBy("sig").agg(*known).where("many > 1").groupBy("entry", "many", "h0", "h1").agg(F.min("sig").alias("sig")).drop("h0", "h1")
+        return nodes, raw.where("n > 0").select("doc_id", "point").distinct(), stored(hot_join(stay, entries, ["sig"], "doc_id"))
 
     def _bounded(self, pairs: DataFrame, points: DataFrame) -> DataFrame:
-        left = pairs.join(points.select(F.col("doc_id").alias("a"), F.col("point").alias("p")), "a")
+        left = hot_join(pairs, points.select(F.col("doc_id").alias("a"), F.col("point").alias("p")), ["a"], "b")
         return left.join(points.select(F.col("doc_id").alias("b"), F.col("point").alias("q")), "b").mapInArrow(_bounded(self.num, self.den), "a long, b long")
 
     @staticmethod
@@ -380,13 +400,12 @@ class NgramJaccardJoin:
         near = cut(self._bounded(members.where("entry < doc_id").select(F.col("entry").alias("a"), F.col("doc_id").alias("b")).distinct(), points).distinct())
         found = cut(components(near))
         rows = found.count()
-        mine = members.join(small(found.withColumnRenamed("id", "doc_id"), rows, BROADCAST_ROWS), "doc_id", "left").select("sig", "doc_id", "entry", F.coalesce("component", "doc_id").alias("family"))
+        mine = members.join(small(found.withColumnRenamed("id", "doc_id"), rows, BROADCAST_ROWS), "doc_id", "left").select("sig", "doc_id", "entry", "many", F.coalesce("component", "doc_id").alias("family"))
         theirs = mine.join(small(found.withColumnRenamed("id", "entry"), rows, BROADCAST_ROWS), "entry", "left").where(F.coalesce("component", "entry") != F.col("family"))
         open_ = cut(theirs.select("sig").distinct())
-        rest = mine.join(small(open_, open_.count(), BROADCAST_ROWS), "sig", "left_semi").select("sig", "doc_id", "family")
         # Two members have been compared already; of more, only pairs with the first.
-        sizes = rest.groupBy("sig").agg(F.count("*").alias("members")).where("members > 2").select("sig", F.ceil(F.col("members") / BLOCK).alias("blocks"))
-        cells = self._cells(rest.join(sizes, "sig"), "sig").join(points, "doc_id")
+        rest = mine.where("many > 2").join(small(open_, open_.count(), BROADCAST_ROWS), "sig", "left_semi").select("sig", "doc_id", "family", F.ceil(F.col("many") / BLOCK).alias("blocks"))
+        cells = self._cells(rest, "sig").join(points, "doc_id")
         more = cut(cells.groupBy("sig", "cell").applyInArrow(_subtree(self.num, self.den), "a long, b long").distinct())
         if not more.isEmpty():
             found = cut(components(near.union(more)))
@@ -430,10 +449,12 @@ class NgramJaccardJoin:
     def run(self, docs: DataFrame) -> DataFrame:
         """(doc_id, n_shingles, component_id) of every row of docs(doc_id, text)."""
         nodes, links = self._linked(docs, every=False)
-        same = nodes.where("rep < doc_id").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-        found = cut(components(links.union(same)))
-        out = nodes.join(found, nodes["doc_id"] == found["id"], "left")
-        return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+        # Copies take their representative's component; only ids with different texts join some.
+        several = nodes.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").drop("b")
+        same = nodes.join(several, "doc_id").select("a", F.col("rep").alias("b")).where("a < b")
+        found = cut(components(links.union(same))).withColumnRenamed("id", "rep")
+        out = hot_join(nodes, found, ["rep"], "doc_id", "left")
+        return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
 
     def links(self, docs: DataFrame) -> DataFrame:
         """All links (a, b), a < b, between the smallest documents of distinct sets."""
