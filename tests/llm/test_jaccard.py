@@ -55,6 +55,7 @@ def test_subtrees_in_blocks(spark, monkeypatch):
     want = components(sorted(sets), links)
     monkeypatch.setattr(N, "BLOCK", 4)
     monkeypatch.setattr(N, "BLOCK_SHINGLES", 500)
+    monkeypatch.setattr("waymark.llm.common.HOT", 3)
     least = {}
     for i in sorted(sets):
         least.setdefault(sets[i], i)

@@ -1,3 +1,4 @@
+import math
 import random
 import re
 
@@ -425,6 +426,85 @@ def test_classifier_on_held_out_labels(spark):
     assert sum(r["kept"] for r in test if r["quality"]) >= 0.98 * sum(r["quality"] for r in test)
 
 
+def classified(rows, quality):
+    """(weights, score of each row (doc_id, text, host, path)) by loops over documents, from the fit on."""
+    import numpy as np
+
+    Q = quality_classifier
+
+    def probability(fit, text):
+        buckets, _ = Q.tokens([(text or "").encode()])
+        if not len(buckets):
+            return math.log(fit.prior / (1 - fit.prior))
+        return fit.slope * sum(fit.weights[b] for t in buckets for b in t) / len(buckets) + fit.shift
+
+    def counts(train):
+        tally = {0: [0] * Q.ALL, 1: [0] * Q.ALL}
+        for text, good in train:
+            for t in Q.tokens([text.encode()])[0]:
+                for b in t:
+                    tally[good][b] += 1
+        return [np.array(tally[k]) for k in (1, 0)]
+
+    def scores(fit):
+        odds = [probability(fit, t) for _, t, _, _ in rows]
+        p = [1 / (1 + math.exp(-o)) for o in odds]
+        n, world = len(rows), sum(p) / len(rows)
+
+        def sites(*columns):
+            of = {}
+            for r, x in zip(rows, p):
+                of.setdefault(tuple(r[c] for c in columns), []).append(x)
+            return of
+
+        hosts, paths = sites(2), sites(2, 3)
+        mean = lambda x: sum(x) / len(x)
+
+        def strength(parts, above, many):
+            s2 = sum((x - mean(v)) ** 2 for v in parts.values() for x in v) / (n - len(parts))
+            between = sum(len(v) * (mean(v) - above(k)[0]) ** 2 for k, v in parts.items())
+            own = sum(len(v) ** 2 / above(k)[1] for k, v in parts.items())
+            t2 = (between - many * s2) / (n - own)
+            return s2 / t2 if t2 > 0 else Q.SAME
+
+        at_host = strength(hosts, lambda k: (world, n), len(hosts) - 1)
+        at_path = strength(paths, lambda k: (mean(hosts[k[:1]]), len(hosts[k[:1]])), len(paths) - len(hosts))
+        logit = lambda x: math.log(x / (1 - x))
+        out = []
+        for r, o, x in zip(rows, odds, p):
+            h, q = hosts[(r[2],)], paths[(r[2], r[3])]
+            host = (sum(h) - x + at_host * world) / (len(h) - 1 + at_host)
+            share = (sum(q) - x + at_path * host) / (len(q) - 1 + at_path)
+            out.append(1 / (1 + math.exp(-(o + logit(share) - logit(world)))))
+        return out
+
+    return counts, scores
+
+
+def test_classifier_equals_brute_force(spark):
+    import numpy as np
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id < 500")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    # Sites that differ: hosts by quality, some of one document, null ones.
+    docs = docs.join(labels, "doc_id", "left").selectExpr("doc_id", "text", "CASE WHEN doc_id % 9 = 0 THEN NULL WHEN quality = 0 OR doc_id % 4 = 1 THEN 'low' ELSE 'h' || doc_id % 7 END AS source", "CASE WHEN doc_id % 11 = 0 THEN NULL ELSE lang END AS lang")
+    fit = quality_classifier.QualityClassifier(docs, labels)
+    rows = [(r["doc_id"], r["text"], r["source"], r["lang"]) for r in docs.collect()]
+    quality = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    counts, scores = classified(rows, quality)
+    fold = {r["doc_id"] for r in docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0).select("doc_id").collect()}
+    good, bad = counts([(t or "", quality[i] > 0) for i, t, _, _ in rows if i in quality and i not in fold])
+    for half in quality_classifier.KINDS:
+        g, b = good[half], bad[half]
+        both = (g + b) / (g.sum() + b.sum())
+        assert np.allclose(fit.weights[half], np.log((g + 1 + 20 * both) / (g.sum() + len(g) + 20)) - np.log((b + 1 + 20 * both) / (b.sum() + len(b) + 20)))
+    got = {r["doc_id"]: (r["score"], r["kept"]) for r in fit.classify(docs).collect()}
+    want = scores(fit)
+    assert len(got) == len(rows)
+    for r, x in zip(rows, want):
+        assert got[r[0]][0] == pytest.approx(x, abs=1e-6) and got[r[0]][1] == (got[r[0]][0] >= 0.5)
+
+
 def test_classifier_without_labels_or_words(spark):
     docs = spark.createDataFrame([(1, None, None, None, 1), (2, "", "h", "p", 1), (None, "some text", "h", "p", 1), (3, "x", "h", "p", 1), (3, "x", "h", "p", 1)], "doc_id long, text string, source string, lang string, evidence int")
     labels = spark.createDataFrame([(9, 1), (None, 0)], "doc_id long, quality int")

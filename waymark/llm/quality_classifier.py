@@ -8,8 +8,11 @@ aggregation over all labelled documents; what reaches the driver is bounded by B
 
 Sites: hosts, and paths within hosts, get posterior shares of good documents by grouped
 aggregation of the documents' probabilities.  A path is shrunk toward its host, a host toward the
-global share, each as if by STRENGTH documents, so a site of few documents says little.  A
-document's log-odds then move by the path's log-odds less the global ones, weighted by TRUST.
+share of all documents, so a site of few documents says little.  How strongly is estimated from the
+spread of sites by moments: as if by s2 / t2 documents, with s2 the variance of documents within
+sites, and t2 that of sites beyond what s2 explains; sites that spread no more than chance
+say nothing.  A document's log-odds move by its path's less those of all; its own probability is
+left out of its site's sums, so no evidence counts twice.
 
 Null texts and texts without words carry no evidence: their log-odds are the global ones before
 the site's.  A null host or path is a site of its own.  Without labels of both kinds nothing is
@@ -25,12 +28,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
-from waymark.llm.common import _P, _P_INV, Words, _power, batch, chunks, clash_free, cut, mix, runs, small, stored, texts_of
+from waymark.llm.common import _P, _P_INV, Words, _power, batch, chunks, clash_free, cut, hot_join, mix, runs, small, stored, texts_of
 
 _U = np.uint64
-BUCKETS, BINS, STRENGTH, TRUST = 1 << 16, 400, 200.0, 0.5
-#: Labels of so many rows are broadcast at most.
-BROADCAST_LABELS = 2_000_000
+BUCKETS, BINS = 1 << 16, 400
+#: Labels, or sites, of so many rows are broadcast at most.
+BROADCAST_LABELS, BROADCAST_SITES = 2_000_000, 500_000
+#: Documents for which a level of sites counts that does not spread.
+SAME = 1e12
 
 _CLASS = np.full(256, 5, np.uint64)
 _CLASS[97:123], _CLASS[65:91], _CLASS[48:58] = 1, 2, 3
@@ -154,11 +159,44 @@ class QualityClassifier:
         prior = min(max(self.prior, 1e-6), 1 - 1e-6)
         own = F.when(F.col("evidence").isNull(), F.lit(float(np.log(prior / (1 - prior))))).otherwise(F.col("evidence") * self.slope + self.shift)
         seen = seen.withColumn("odds", own).withColumn("p", 1 / (1 + F.exp(-F.col("odds"))))
-        paths = seen.groupBy("host", "path").agg(F.sum("p").alias("good"), F.count("*").alias("n"))
-        hosts = paths.groupBy("host").agg(F.sum("good").alias("good"), F.sum("n").alias("n"))
-        world = F.lit(prior)
-        hosts = hosts.select(F.col("host").alias("h"), ((F.col("good") + STRENGTH * world) / (F.col("n") + STRENGTH)).alias("host_share"))
-        sites = paths.join(hosts, paths["host"].eqNullSafe(hosts["h"])).select("h", F.col("path").alias("q"), ((F.col("good") + STRENGTH * F.col("host_share")) / (F.col("n") + STRENGTH)).alias("share"))
-        out = seen.join(sites, seen["host"].eqNullSafe(sites["h"]) & seen["path"].eqNullSafe(sites["q"]))
-        odds = F.col("odds") + TRUST * (_logit(clamp(F.col("share"))) - _logit(world))
+        # Null hosts and paths are sites too.
+        key = lambda c: F.when(F.col(c).isNull(), "").otherwise(F.concat(F.lit("="), c))
+        seen = seen.withColumns({"_h": key("host"), "_q": key("path")})
+        paths = cut(seen.groupBy("_h", "_q").agg(F.sum("p").alias("good"), F.sum(F.col("p") * F.col("p")).alias("squares"), F.count("*").alias("n")))
+        hosts = paths.groupBy("_h").agg(F.sum("good").alias("host_good"), F.sum("squares").alias("host_squares"), F.sum("n").alias("host_n"))
+        sites = cut(paths.join(hosts, "_h"))
+        world, host_strength, path_strength = self._spread(sites, hosts)
+        share = clamp(F.lit(world))
+        p, n = F.col("p"), F.col("n")
+        sums = sites.select("_h", "_q", "good", "n", "host_good", "host_n")
+        out = seen.join(F.broadcast(sums), ["_h", "_q"]) if sums.count() <= BROADCAST_SITES else hot_join(seen, sums, ["_h", "_q"], "doc_id")
+        host_share = (F.col("host_good") - p + host_strength * share) / (F.col("host_n") - 1 + host_strength)
+        path_share = (F.col("good") - p + path_strength * host_share) / (n - 1 + path_strength)
+        odds = F.col("odds") + _logit(clamp(path_share)) - _logit(share)
         return out.withColumn("score", 1 / (1 + F.exp(-odds))).withColumn("kept", F.col("score") >= 0.5)
+
+    @staticmethod
+    def _spread(sites: DataFrame, hosts: DataFrame) -> tuple[float, float, float]:
+        """The share of all documents, and for how many documents it counts at a host, and the host's at a path."""
+        within = lambda good, squares, n: F.sum(F.col(squares) - F.col(good) * F.col(good) / F.col(n))
+        between = F.sum(F.col("n") * F.pow(F.col("good") / F.col("n") - F.col("host_good") / F.col("host_n"), 2))
+        low = sites.agg(F.count("*").alias("k"), within("good", "squares", "n").alias("within"), between.alias("between"), F.sum(F.col("n") * F.col("n") / F.col("host_n")).alias("own")).first()
+        n, good = F.col("host_n"), F.col("host_good")
+        high = hosts.agg(F.count("*").alias("k"), F.sum("host_n").alias("n"), F.sum("host_good").alias("good"), within("host_good", "host_squares", "host_n").alias("within"), F.sum(good * good / n).alias("between"), F.sum(n * n).alias("own")).first()
+        if not high["n"]:
+            return 0.5, SAME, SAME
+        total = float(high["n"])
+        world = high["good"] / total
+
+        def strength(within: float, free: float, between: float, parts: float, own: float) -> float:
+            if free <= 0 or parts <= 0:
+                return SAME
+            s2 = max(within, 0.0) / free
+            t2 = (between - parts * s2) / (total - own) if total > own else 0.0
+            return min(SAME, max(s2, 1e-9) / t2) if t2 > 0 else SAME
+
+        return (
+            world,
+            strength(high["within"], total - high["k"], high["between"] - total * world * world, high["k"] - 1, high["own"] / total),
+            strength(low["within"], total - low["k"], low["between"], low["k"] - high["k"], low["own"]),
+        )
