@@ -173,7 +173,16 @@ def stored(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(p)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.stored_at = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes stored tables that no plan reads any more."""
+    for table in tables:
+        p = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.stored_at)
+        p.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def small(df: DataFrame, rows: int, most: int) -> DataFrame:

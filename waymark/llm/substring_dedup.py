@@ -35,12 +35,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import Words, batch, beside, chunks, clash_free, cut, hot_join, mix, runs, signed, small, stored, texts_of, window_hash
+from waymark.llm.common import Words, batch, beside, chunks, clash_free, cut, discard, hot_join, mix, runs, signed, small, stored, texts_of, window_hash
 
 _U = np.uint64
 WINDOW, GRAM = 50, 19
-#: Group names or intervals that are broadcast at most; beyond, texts are shuffled to them.
-BROADCAST_VALUES = 4_000_000
+#: Bytes of names or intervals that are broadcast at most; beyond, texts are shuffled to them.  Bytes of a
+#: row, a name and an interval.
+BROADCAST_BYTES, ROW, NAME, INTERVAL = 48 << 20, 48, 8, 40
 #: Suffixes that a task joins before it sends them on.
 HELD = 1_000_000
 #: Words of a path's levels and the bits that hash them; suffixes of a group, and longer prefixes at most.
@@ -200,6 +201,29 @@ def _nodes(batches):
             yield batch(schema, d, first >> 32, first & 0xFFFFFFFF, last & 0xFFFFFFFF)
 
 
+def _merged(batches):
+    """Marks of each document, overlapping and adjacent intervals as one."""
+    kind = pa.struct([("tag", pa.int64()), ("first", pa.int64()), ("last", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("marks", pa.list_(kind))])
+    for x in batches:
+        out = []
+        for marks in x["marks"].to_pylist():
+            own = []
+            for tag, first, last in sorted((m["tag"], m["first"], m["last"]) for m in marks):
+                if own and own[-1]["tag"] == tag and first <= own[-1]["last"] + 1:
+                    own[-1]["last"] = max(last, own[-1]["last"])
+                else:
+                    own.append({"tag": tag, "first": first, "last": last})
+            out.append(own)
+        yield batch(schema, x["doc_id"], pa.array(out, pa.list_(kind)))
+
+
+def _few(lists: DataFrame, column: str, each: int) -> DataFrame:
+    """lists(doc_id, column), for broadcast if its bytes allow."""
+    shape = lists.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size(column)), F.lit(0)).alias("values")).first()
+    return small(lists, ROW * shape["rows"] + each * shape["values"], BROADCAST_BYTES)
+
+
 def _applied(window: int, gram: int):
     def run(batches):
         for x in runs(batches):
@@ -265,11 +289,13 @@ class SubstringDedup:
         spread = named.where("owner = doc_id").select("doc_id", F.explode("groups").alias("group"))
         shared = spread.repartition("group").sortWithinPartitions("group").mapInArrow(_repeated, "doc_id long, group long")
         wanted = cut(shared.groupBy("doc_id").agg(F.collect_set("group").alias("groups")))
-        values = wanted.agg(F.sum(F.size("groups"))).first()[0] or 0
-        leaves = stored(docs.join(small(wanted, values, BROADCAST_VALUES), "doc_id").mapInArrow(_grown(self.window, self.gram), "path long, window long, doc_id long, at long, last long"))
+        leaves = stored(docs.join(_few(wanted, "groups", NAME), "doc_id").mapInArrow(_grown(self.window, self.gram), "path long, window long, doc_id long, at long, last long"))
         grouped = self._grouped(leaves).repartition("group").sortWithinPartitions("group", "path", "window", "doc_id")
         found = grouped.mapInArrow(_nodes, "doc_id long, tag long, first long, last long")
-        return cut(found.union(copies).groupBy("doc_id").agg(F.collect_list(F.struct("tag", "first", "last")).alias("marks")))
+        lists = found.union(copies).groupBy("doc_id").agg(F.collect_list(F.struct("tag", "first", "last")).alias("marks"))
+        marks = cut(lists.mapInArrow(_merged, "doc_id long, marks array<struct<tag:bigint,first:bigint,last:bigint>>"))
+        discard(leaves)
+        return marks
 
     def run(self, docs: DataFrame) -> DataFrame:
         """(doc_id, n_words, n_removed, kept_sha256, kept: words joined by a space) of docs(doc_id, text)."""
@@ -278,8 +304,7 @@ class SubstringDedup:
     def _cut(self, docs: DataFrame) -> DataFrame:
         """docs, whose other columns have names of their own, without their text and with what `run` gives."""
         marks = self.marks(docs)
-        values = marks.agg(F.sum(F.size("marks"))).first()[0] or 0
-        both = docs.join(small(marks, values, BROADCAST_VALUES).withColumnRenamed("doc_id", "_d"), F.col("doc_id") == F.col("_d"), "left").drop("_d")
+        both = docs.join(_few(marks, "marks", INTERVAL).withColumnRenamed("doc_id", "_d"), F.col("doc_id") == F.col("_d"), "left").drop("_d")
         fields = [f for f in both.schema if f.name not in ("marks", "text")]
         kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
         return both.mapInArrow(_applied(self.window, self.gram), f"{kinds}, n_words long, n_removed long, kept_sha256 string, kept string")
