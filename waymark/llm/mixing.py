@@ -154,9 +154,14 @@ def mix_documents(docs: DataFrame, slot: str | None = None, **options) -> DataFr
     run = max(1, min(RUN, RUN_TOKENS // mix.block))
     taken = mix.taken().select(F.col("doc_id").alias("_d"), F.col("size").alias("_s"), "turns", "part", "slots", F.row_number().over(W.partitionBy("doc_id", "size").orderBy("start")).alias("_k"))
     own = docs.withColumn("_size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
-    # Rows that share an id and a size are told apart by their place among themselves.
-    own = own.withColumn("_nth", F.row_number().over(W.partitionBy("doc_id", "_size").orderBy("text")))
-    both = own.join(taken, own["doc_id"].eqNullSafe(taken["_d"]) & (F.col("_size") == F.col("_s")) & (F.col("_nth") == F.col("_k")))
+    key = [F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)), F.col("_size")]
+    theirs = [F.col("_d").isNull(), F.coalesce("_d", F.lit(0)), F.col("_s")]
+    on = [a == b for a, b in zip(key, theirs)]
+    if not mix.layout.groupBy("doc_id", "size").count().where("count > 1").isEmpty():
+        # Rows that share an id and a size are told apart by their place among themselves.
+        own = own.withColumn("_nth", F.row_number().over(W.partitionBy("doc_id", "_size").orderBy("text")))
+        on.append(F.col("_nth") == F.col("_k"))
+    both = own.join(taken, on)
     first = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)), F.lit(1), F.col("part").cast("int")), " ")
     # All copies of a document come from its one row, so the join shuffles the texts once.
     out = both.select("*", F.posexplode("slots").alias("_turn", "_slot")).withColumn("_part", F.col("_turn") >= F.col("turns"))
