@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
-from waymark.llm.common import _P, _P_INV, Words, _power, batch, chunks, clash_free, cut, hot_join, mix, runs, small, stored, texts_of
+from waymark.llm.common import _P, _P_INV, Words, _power, batch, chunks, clash_free, cut, hot_join, mix, runs, small, texts_of
 
 _U = np.uint64
 BUCKETS, BINS = 1 << 16, 400
@@ -149,12 +149,16 @@ class QualityClassifier:
         return self._judged(docs, host, path, beside).where("kept").select(*[F.col(v).alias(c) for c, v in beside.items()])
 
     def _judged(self, docs: DataFrame, host: str, path: str, beside: dict[str, str]) -> DataFrame:
-        """What `classify` gives, with columns of docs under other names, which go through Python and Parquet with their rows."""
+        """What `classify` gives, with columns of docs under other names, which go through Python with their rows.
+
+        Rows with their texts are read again for the verdict; only evidence is kept between.
+        """
         more = {v: c for c, v in beside.items() if c not in ("doc_id", "text")}
         rows = docs.select("doc_id", F.col(host).cast("string").alias("host"), F.col(path).cast("string").alias("path"), "text", *[F.col(c).alias(v) for v, c in more.items()])
         kinds = [f for f in rows.schema if f.name != "text" or beside]
         seen = rows.mapInArrow(_evidence(self.weights, [pa.field(f.name, to_arrow_type(f.dataType)) for f in kinds]), StructType(kinds).add("evidence", "double"))
-        seen = stored(seen) if beside else cut(seen)
+        if not beside:
+            seen = cut(seen)
         clamp = lambda c: F.least(F.greatest(c, F.lit(1e-6)), F.lit(1 - 1e-6))
         prior = min(max(self.prior, 1e-6), 1 - 1e-6)
         own = F.when(F.col("evidence").isNull(), F.lit(float(np.log(prior / (1 - prior))))).otherwise(F.col("evidence") * self.slope + self.shift)
