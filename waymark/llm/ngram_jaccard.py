@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from waymark.llm.common import Words, batch, chunks, clash_free, components, cut, hot_join, mix, runs, signed, small, stored, texts_of, window_hash
+from waymark.llm.common import Words, batch, chunks, clash_free, components, cut, discard, hot_join, mix, runs, signed, small, stored, texts_of, window_hash
 
 _U = np.uint64
 #: Least and most coordinates of a point, and shingles a coordinate stands for (random sets of so many
@@ -382,7 +382,9 @@ class NgramJaccardJoin:
         # Subtrees of the same documents are one: it is known by its members' least, number and 128 bits of their hashes.
         known = [F.min("doc_id").alias("entry"), F.count("*").alias("many"), *[F.bit_xor(F.xxhash64("doc_id", F.lit(k))).alias(f"h{k}") for k in (0, 1)]]
         entries = stay.groupBy("sig").agg(*known).where("many > 1").groupBy("entry", "many", "h0", "h1").agg(F.min("sig").alias("sig")).drop("h0", "h1")
-        return nodes, raw.where("n > 0").select("doc_id", "point").distinct(), stored(hot_join(stay, entries, ["sig"], "doc_id"))
+        members = stored(hot_join(stay, entries, ["sig"], "doc_id"))
+        discard(met, stay)
+        return nodes, raw.where("n > 0").select("doc_id", "point").distinct(), members
 
     def _bounded(self, pairs: DataFrame, points: DataFrame) -> DataFrame:
         left = hot_join(pairs, points.select(F.col("doc_id").alias("a"), F.col("point").alias("p")), ["a"], "b")
@@ -432,6 +434,8 @@ class NgramJaccardJoin:
         text = clash_free(docs, "doc_id", "text").where("doc_id is not null")
         sizes = nodes.where("rep = doc_id").select("doc_id", "n").distinct()
         own = self.families(cut(points), members).join(sizes, "doc_id")
+        own = cut(own)
+        discard(members)
         own = cut(own.join(own.groupBy("family").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("blocks")), "family"))
         first = own.where("false").select(F.col("family").alias("a"), F.col("doc_id").alias("b"))
         large = own.where("blocks > 1")
