@@ -200,17 +200,14 @@ def hot_join(left: DataFrame, right: DataFrame, keys: list[str], by: str, how: s
     Keys of more than HOT of left's rows (of so many that there are HOT_KEYS of them at most) are
     salted by the column `by`, and right's rows of these keys are repeated for each salt.
     """
-    return salted_join(left, right, left.groupBy(*keys).agg(F.count("*").alias("many")), left.count(), keys, by, how)
-
-
-def salted_join(left: DataFrame, right: DataFrame, sizes: DataFrame, rows: int, keys: list[str], by: str, how: str = "inner") -> DataFrame:
-    """`hot_join` where the left's rows, and of each key (`many`), are known."""
-    most = max(HOT, rows // HOT_KEYS)
-    if rows <= most:
-        return left.join(right, keys, how)
-    hot = cut(sizes.where(F.col("many") > most).select(*keys, F.ceil(F.col("many") / most).alias("_salts")))
-    if hot.isEmpty():
+    most = HOT
+    hot = cut(left.groupBy(*keys).agg(F.count("*").alias("_many")).where(F.col("_many") > most))
+    while (found := hot.count()) > HOT_KEYS:
+        most *= 2
+        hot = hot.where(F.col("_many") > most)
+    if not found:
         return left.join(right, keys, how)
+    hot = hot.select(*keys, F.ceil(F.col("_many") / most).alias("_salts"))
     salted = left.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(by), "_salts"), F.lit(0).cast("long"))).drop("_salts")
     spread = right.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_salts", F.lit(1).cast("long")) - 1))).drop("_salts")
     return salted.join(spread, [*keys, "_salt"], how).drop("_salt")
@@ -226,23 +223,21 @@ def components(links: DataFrame, limit: int = 60) -> DataFrame:
 
     Alternates large-star and small-star rounds: each hangs neighbours on the smallest id seen,
     so a star needs two rounds and a chain a logarithmic number.  Only minima are aggregated,
-    no group of neighbours is ever gathered, large stars are salted, and lineage is cut after every round.
+    no group of neighbours is ever gathered, and lineage is cut after every round.
     """
     edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct())
-    before, rows = None, edges.count()
+    before = None
     for _ in range(limit):
         both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(edges.select("lo", "hi"))
-        least = cut(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count("*").alias("many")))
-        large = salted_join(both, least.drop("many"), least, 2 * rows, ["u"], "v").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).where("hi <> lo").distinct()
-        large = cut(large)
-        down = large.groupBy("hi").agg(F.min("lo").alias("m"), F.count("*").alias("many"))
-        met = salted_join(large, down.drop("many"), down, large.count(), ["hi"], "lo")
-        edges = cut(met.select(F.col("lo").alias("x"), "hi", "m").select(F.explode(F.array(F.struct(F.col("x").alias("hi"), F.col("m").alias("lo")), F.struct("hi", F.col("m").alias("lo")))).alias("e")).select("e.hi", "e.lo").where("hi <> lo").distinct())
+        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).where("hi <> lo").distinct()
+        down = large.groupBy("hi").agg(F.min("lo").alias("m"))
+        edges = cut(large.join(down, "hi").select(F.col("lo").alias("x"), "hi", "m").select(F.explode(F.array(F.struct(F.col("x").alias("hi"), F.col("m").alias("lo")), F.struct("hi", F.col("m").alias("lo")))).alias("e")).select("e.hi", "e.lo").where("hi <> lo").distinct())
         # A forest of stars whose centres hang on nothing: every hi has one lo and no lo is a hi.
         now = edges.agg(F.count("*"), F.countDistinct("hi"), F.sum(F.hash("hi", "lo").cast("long"))).first()
         if now == before:
             break
-        before, rows = now, now[0]
+        before = now
     else:
         raise RuntimeError("components did not settle")
     return edges.select(F.col("hi").alias("id"), F.col("lo").alias("component")).union(edges.select("lo", "lo").distinct())

@@ -64,6 +64,7 @@ class Mix:
 
     def __init__(self, docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST, slots: int = SLOTS):
         sized = cut(sizes(docs).withColumn("key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
+        self.sized = sized
         self.goals = cut(targets(sized, weights, share, most))
         rows, wanted = sized.count(), self.goals.agg(F.sum("target")).first()[0] or 0.0
         self.block = max(1, min(SLOT_TOKENS, round(wanted / slots)))
@@ -157,7 +158,7 @@ def mix_documents(docs: DataFrame, slot: str | None = None, **options) -> DataFr
     key = [F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)), F.col("_size")]
     theirs = [F.col("_d").isNull(), F.coalesce("_d", F.lit(0)), F.col("_s")]
     on = [a == b for a, b in zip(key, theirs)]
-    if not mix.layout.groupBy("doc_id", "size").count().where("count > 1").isEmpty():
+    if not mix.sized.groupBy("doc_id", "size").count().where("count > 1").isEmpty():
         # Rows that share an id and a size are told apart by their place among themselves.
         own = own.withColumn("_nth", F.row_number().over(W.partitionBy("doc_id", "_size").orderBy("text")))
         on.append(F.col("_nth") == F.col("_k"))

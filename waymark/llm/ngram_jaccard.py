@@ -387,7 +387,7 @@ class NgramJaccardJoin:
         return nodes, raw.where("n > 0").select("doc_id", "point").distinct(), members
 
     def _bounded(self, pairs: DataFrame, points: DataFrame) -> DataFrame:
-        left = hot_join(pairs, points.select(F.col("doc_id").alias("a"), F.col("point").alias("p")), ["a"], "b")
+        left = hot_join(cut(pairs), points.select(F.col("doc_id").alias("a"), F.col("point").alias("p")), ["a"], "b")
         return left.join(points.select(F.col("doc_id").alias("b"), F.col("point").alias("q")), "b").mapInArrow(_bounded(self.num, self.den), "a long, b long")
 
     @staticmethod
