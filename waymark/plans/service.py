@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import time
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.operators import render
@@ -67,8 +67,9 @@ class Gazetteer:
         if filter_before_limit:
             rows = rows.orderBy(F.desc("priority"), "id").limit(count)
         answer = respond(rows, self.places, language, keep=("priority",), few=True)
-        ranked = answer.orderBy(F.desc("priority"), "id").withColumn("rank", F.monotonically_increasing_id())
-        return ranked.drop("priority")
+        # An answer has at most 100 rows, so one task ranks them.
+        order = Window.orderBy(F.desc("priority"), "id")
+        return answer.withColumn("rank", (F.row_number().over(order) - 1).cast("long")).orderBy("rank").drop("priority")
 
     def areas(self, area: str, language: str) -> DataFrame:
         """(area_id) of the ten best hits for an area's name that are areas at all."""

@@ -31,12 +31,15 @@ def small(df: DataFrame, rows: int, most: int) -> DataFrame:
 def materialise(df: DataFrame) -> DataFrame:
     """Runs `df` once and cuts its lineage with a reliable checkpoint.
 
-    The folder is spark.checkpoint.dir, which a cluster shares; only where none is set (tests on
-    one machine) a temporary one is made.
+    The folder is spark.checkpoint.dir, which a cluster shares; only on one machine (a local master,
+    as in tests) a temporary one is made where none is set.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="waymark-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="waymark-"))
     return df.checkpoint(eager=True)
 
 
