@@ -118,6 +118,14 @@ def test_json_and_protobuf(server):
     assert server.answer(server.search("Berlin").drop("rank"), "protobuf")[:1] == b"\x0a"
 
 
+def test_floats_are_written_as_in_proto3_json(spark):
+    want = {47.54729: "47.54729", 10.0: "10.0", -5.5: "-5.5", 0.002: "0.002", 1e-4: "0.0001", -1.2345e-4: "-0.00012345", 1e-5: "1e-05", 1.5e-12: "1.5e-12", 9999999.0: "9999999.0",
+            12345678.0: "12345678.0", 1e7: "10000000.0", 16777216.0: "16777216.0", 2e7: "2e+07", -3.5e20: "-3.5e+20", float("inf"): '"Infinity"', float("-inf"): '"-Infinity"'}
+    rows = spark.createDataFrame(list(enumerate(want)), "k int, x float").orderBy("k")
+    assert [r[0] for r in rows.select(render.float_text(F.col("x"))).collect()] == list(want.values())
+    assert rows.limit(1).select(render.float_text(F.lit(float("nan")).cast("float")), render.float_text(F.lit(None).cast("float"))).first()[:] == ('"NaN"', None)
+
+
 def test_batch_equals_single_searches(spark, server):
     names = ["Berlin", "Mun", "mü", "M", "muc", "10", "101", "Berlin Mitte", "zzz", "É"]
     asked = spark.createDataFrame([(k, n, "en") for k, n in enumerate(names)], "qid int, name string, language string")

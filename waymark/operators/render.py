@@ -6,6 +6,7 @@ Both formats leave out fields that have their default: 0, '' or an empty list.
 from __future__ import annotations
 
 import struct
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,9 +27,27 @@ def _or_null(name: str) -> Column:
     return F.nullif(c, F.lit("" if name in _STRINGS else 0))
 
 
+def float_text(c: Column) -> Column:
+    """A 32-bit float as proto3 JSON has it: shortest digits, plain from 1e-4 to 2^24, else with an exponent of two digits at least."""
+    s = c.cast("string")
+    sign, mantissa = F.when(s.startswith("-"), "-").otherwise(""), F.regexp_replace(F.regexp_extract(s, "^-?([0-9.]+)", 1), r"\.0$", "")
+    digits, exponent = F.replace(mantissa, F.lit("."), F.lit("")), F.regexp_extract(s, "E(-?[0-9]+)$", 1).try_cast("int")
+    # The JVM goes over to exponents below 1e-3 and from 1e7 on, so plain ones of these are -4 and 7.
+    scientific = F.concat(sign, mantissa, F.lit("e"), F.when(exponent < 0, "-").otherwise("+"), F.lpad(F.abs(exponent).cast("string"), 2, "0"))
+    plain = F.when(exponent == -4, F.concat(sign, F.lit("0.000"), digits)).when(F.abs(c) <= 1 << 24, F.concat(sign, F.rpad(digits, 8, "0"), F.lit(".0")))
+    return F.when(s.rlike("[A-DF-Za-z]"), F.concat(F.lit('"'), s, F.lit('"'))).when(exponent.isNull(), s).when(exponent < -4, scientific).otherwise(F.coalesce(plain, scientific))
+
+
 def to_json(rows: DataFrame, *keep: str) -> DataFrame:
     """(keep, json): one object a row, keys in the order of field numbers; nulls are left out."""
-    return rows.select(*keep, F.to_json(F.struct(*[_or_null(c).alias(c) for c in RESPONSE_FIELDS])).alias("json"))
+    members = []
+    for floats, names in groupby(RESPONSE_FIELDS, lambda c: c in _FLOATS):
+        if floats:
+            members += [F.concat(F.lit(f'"{c}":'), float_text(_or_null(c))) for c in names]
+        else:
+            part = F.to_json(F.struct(*[_or_null(c).alias(c) for c in names]))
+            members.append(F.nullif(part.substr(F.lit(2), F.length(part) - 2), F.lit("")))
+    return rows.select(*keep, F.concat(F.lit("{"), F.concat_ws(",", *members), F.lit("}")).alias("json"))
 
 
 def results_json(rows: DataFrame, rank: str = "rank") -> DataFrame:

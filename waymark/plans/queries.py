@@ -75,9 +75,9 @@ def lww_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hierarchy.last_write_wins(orders, ["o_custkey"], "o_orderkey", "line")
 
 
-@query(f"{DUCK} SELECT id, country_id, admin1_id, CAST(0 AS INT) AS admin2_id FROM places")
+@query(f"{DUCK} SELECT id, country_id, admin1_id, admin2_id, admin3_id, admin4_id FROM places")
 def hierarchy_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hierarchy.with_parents(features.loaded(raw_places(spark, sf_dir))).select("id", "country_id", "admin1_id", "admin2_id")
+    return hierarchy.with_parents(features.loaded(raw_places(spark, sf_dir))).select("id", "country_id", "admin1_id", "admin2_id", "admin3_id", "admin4_id")
 
 
 @query("SELECT concat_ws(chr(9), p_brand, coalesce(p_type, ''), CAST(p_size AS STRING)) AS span, max(p_partkey) AS last_key, count(*) AS parts FROM part GROUP BY 1")
@@ -202,6 +202,7 @@ def search_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _LOCAL = "localised AS (SELECT p.id, coalesce(a.name, p.name) AS local FROM places p LEFT JOIN picked a ON a.place_id = p.id AND a.lang = '{}')"
+_PARENTS = "places p JOIN localised s ON s.id = p.id LEFT JOIN localised c ON c.id = p.country_id " + " ".join(f"LEFT JOIN localised a{k} ON a{k}.id = p.admin{k}_id" for k in range(1, 5))
 
 
 @query(f"{DUCK}, {_LOCAL.format('fr')} SELECT p.id, s.local AS name, p.country_iso2 AS country_code, coalesce(c.local, '') AS country, coalesce(a.local, '') AS admin1, population, CAST(elevation AS DOUBLE) AS elevation, timezone FROM places p JOIN localised s ON s.id = p.id LEFT JOIN localised c ON c.id = p.country_id LEFT JOIN localised a ON a.id = p.admin1_id WHERE p.id = 5000007")
@@ -209,10 +210,10 @@ def get_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup.get(database(spark, sf_dir)["places"], 5000007, "fr").select("id", "name", "country_code", "country", "admin1", "population", F.col("elevation").cast("double").alias("elevation"), "timezone")
 
 
-@query(f"{DUCK}, {_LOCAL.format('de')} SELECT p.id, s.local AS name, coalesce(c.local, '') AS country, coalesce(a.local, '') AS admin1, '' AS admin2 FROM places p JOIN localised s ON s.id = p.id LEFT JOIN localised c ON c.id = p.country_id LEFT JOIN localised a ON a.id = p.admin1_id")
+@query(f"{DUCK}, {_LOCAL.format('de')} SELECT p.id, s.local AS name, coalesce(c.local, '') AS country, coalesce(a1.local, '') AS admin1, coalesce(a2.local, '') AS admin2, coalesce(a3.local, '') AS admin3, coalesce(a4.local, '') AS admin4 FROM {_PARENTS}")
 def localise(spark: SparkSession, sf_dir: str) -> DataFrame:
     places = database(spark, sf_dir)["places"]
-    return lookup.respond(places, places, "de").select("id", "name", "country", "admin1", "admin2")
+    return lookup.respond(places, places, "de").select("id", "name", "country", "admin1", "admin2", "admin3", "admin4")
 
 
 def _duck_km(lat: str, lon: str) -> str:
@@ -241,17 +242,27 @@ def degree_helpers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(2 * F.degrees(F.asin(F.lit(0.5) * (v % 3))) + F.radians(v), 9).alias("angle"), geo.ceil_div(v, 7).alias("seventh"))
 
 
-@query(f"""{DUCK}, {_LOCAL.format('en')},
-j AS (SELECT p.id, to_json(s.local) AS jname, p.*, to_json(c.local) AS jcountry, to_json(a.local) AS jadmin1 FROM places p JOIN localised s ON s.id = p.id LEFT JOIN localised c ON c.id = p.country_id LEFT JOIN localised a ON a.id = p.admin1_id)
-SELECT id, '{{"id":' || id || ',"name":' || jname || CASE WHEN population > 0 THEN ',"population":' || population ELSE '' END || CASE WHEN country_id > 0 THEN ',"country_id":' || country_id || ',"country":' || jcountry ELSE '' END || CASE WHEN admin1_id > 0 THEN ',"admin1":' || jadmin1 ELSE '' END || '}}' AS json FROM j""")
+def _members(rows: str) -> str:
+    """(id, json) of places: a member for each field that has not its default, in the order of field numbers."""
+    text = {"name": "s.local", "feature_code": "feature_code", "country_code": "country_iso2", "timezone": "timezone", "country": "c.local"} | {f"admin{k}": f"a{k}.local" for k in range(1, 5)}
+    out = []
+    for c in schema.RESPONSE_FIELDS:
+        if c in text:
+            out.append(f"CASE WHEN {text[c]} <> '' THEN '\"{c}\":' || to_json({text[c]}) END")
+        elif c == "postcodes":
+            out.append(f"CASE WHEN len(p.postcodes) > 0 THEN '\"{c}\":' || to_json(p.postcodes) END")
+        else:
+            out.append(f"CASE WHEN p.{c} <> 0 THEN '\"{c}\":' || p.{c} END")
+    return f"{rows} AS (SELECT p.id, '{{' || concat_ws(',', {', '.join(out)}) || '}}' AS json FROM {_PARENTS})"
+
+
+@query(f"{DUCK}, {_LOCAL.format('en')}, {_members('written')} SELECT id, json FROM written")
 def json_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     places = database(spark, sf_dir)["places"]
-    rows = lookup.respond(places, places, "en")
-    blank = {c: F.lit(0.0).cast("float") for c in ("latitude", "longitude", "elevation")} | {c: F.lit("") for c in ("feature_code", "country_code", "timezone")} | {"admin1_id": F.lit(0), "postcodes": F.array().cast("array<string>")}
-    return render.to_json(rows.withColumns(blank), "id")
+    return render.to_json(lookup.respond(places, places, "en"), "id")
 
 
-@query()
+@query(f"{DUCK}, {_LOCAL.format('en')}, {_members('written')}, {duck_hits('customer', 'en', 10)} SELECT coalesce('{{\"results\":[' || string_agg(json, ',' ORDER BY priority DESC, id) || ']}}', '{{}}') AS json FROM hits JOIN written USING (id)")
 def json_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render.results_json(_service(spark, sf_dir).search("Customer", count=10))
 
