@@ -1,6 +1,7 @@
 import json
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -126,6 +127,51 @@ def test_floats_are_written_as_in_proto3_json(spark):
     assert rows.limit(1).select(render.float_text(F.lit(float("nan")).cast("float")), render.float_text(F.lit(None).cast("float"))).first()[:] == ('"NaN"', None)
 
 
+def decoded(data):
+    """(field number, wire type, value) of a message, read by the wire format's rules alone."""
+    at, out = 0, []
+
+    def varint():
+        nonlocal at
+        n = shift = 0
+        while True:
+            b = data[at]
+            at += 1
+            n |= (b & 127) << shift
+            shift += 7
+            if b < 128:
+                return n
+
+    while at < len(data):
+        tag = varint()
+        kind = tag & 7
+        if kind == 0:
+            value = varint()
+        elif kind == 5:
+            value, at = np.frombuffer(data, "<f4", 1, at)[0], at + 4
+        else:
+            assert kind == 2
+            n = varint()
+            value, at = data[at : at + n], at + n
+        out.append((tag >> 3, kind, value))
+    assert at == len(data)
+    return out
+
+
+def test_protobuf_read_by_another_decoder(server):
+    rows = server.search("Berlin").collect() + server.search("munich").collect()
+    kinds = {"str": 2, "int": 0, "float": 5, "list": 2}
+    for r in rows:
+        want = []
+        for c, number in schema.RESPONSE_FIELDS.items():
+            v = r[c]
+            for x in v if isinstance(v, list) else [v] * bool(v):
+                want.append((number, kinds[type(x).__name__], x.encode() if isinstance(x, str) else x))
+        assert decoded(render.encode_message(r.asDict())) == want
+    body = render.encode_results([r.asDict() for r in rows], 1.5)
+    assert [(n, k) for n, k, _ in decoded(body)] == [(1, 2)] * len(rows) + [(2, 5)] and decoded(body)[-1][2] == 1.5
+
+
 def test_batch_equals_single_searches(spark, server):
     names = ["Berlin", "Mun", "mü", "M", "muc", "10", "101", "Berlin Mitte", "zzz", "É"]
     asked = spark.createDataFrame([(k, n, "en") for k, n in enumerate(names)], "qid int, name string, language string")
