@@ -20,6 +20,7 @@ from __future__ import annotations
 import heapq
 import re
 from array import array
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -80,8 +81,8 @@ class PieceBpe:
         if any(SPACE in p.lstrip(SPACE) for p in pieces):
             raise ValueError("a piece has a space mark after another character")
         self.segments = re.compile(f"{SPACE}*[^{SPACE}{apart}]+|{SPACE}+" + f"|{apart}" * bool(apart))
-        self.seen: dict[str, list[int]] = {}
-        self.older: dict[str, list[int]] = {}
+        self.seen: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     SLOTS = 18
 
@@ -167,15 +168,15 @@ class PieceBpe:
             i = after[i]
         return ids
 
-    def merge(self, segments: list[str]) -> list[list[int]]:
+    def merge(self, segments: list[str]) -> list[tuple[int, ...]]:
         """Ids of each segment (not empty)."""
         points = np.frombuffer("".join(segments).encode("utf-32-le", "surrogatepass"), np.uint32)
         at = np.searchsorted(self.chars, points)
         at[at == len(self.chars)] = 0
         sym = np.where(self.chars[at] == points, self.char_ids[at], self.none)
         lengths = np.array([len(s) for s in segments])
-        seg = np.repeat(np.arange(len(segments)), lengths)
-        source = np.arange(len(sym))
+        seg = np.repeat(np.arange(len(segments), dtype=np.int32), lengths)
+        source = np.arange(len(sym), dtype=np.int32)
         out_sym, out_seg, out_source = [], [], []
         piece, rank = self._pairs(sym[:-1], sym[1:])
         piece, rank = np.append(piece, -1), np.append(rank, self.never)
@@ -208,8 +209,11 @@ class PieceBpe:
             stay[hit + 1] = False
             where = hit - np.arange(len(hit))
             sym, seg, source, piece, rank = sym[stay], seg[stay], source[stay], piece[stay], rank[stay]
-            changed = np.unique(np.concatenate([where, where[where > 0] - 1]))
-            changed = changed[changed < len(sym) - 1]
+            beside = np.zeros(len(sym) + 1, bool)
+            beside[where] = True
+            # The pair before a merged one; -1 is the further place at the end, which is no pair.
+            beside[where - 1] = True
+            changed = np.flatnonzero(beside[: max(len(sym) - 1, 0)])
             inside = seg[changed] == seg[changed + 1]
             rank[changed[~inside]] = self.never
             changed = changed[inside]
@@ -220,28 +224,34 @@ class PieceBpe:
         order = np.argsort(source, kind="stable")
         sym, seg, source = sym[order], seg[order], source[order]
         ints, n = self.ints, self.n
-        ids, bounds = [ints[i] if i < n else i for i in sym.tolist()], np.searchsorted(seg, np.arange(len(segments) + 1)).tolist()
+        # Tuples, as the collector of cycles passes over those of numbers.
+        ids, bounds = tuple([ints[i] if i < n else i for i in sym.tolist()]), np.searchsorted(seg, np.arange(len(segments) + 1)).tolist()
         result = [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
         for k in np.unique(seg[sym >= self.n]).tolist():
             whole = []
             for i in range(bounds[k], bounds[k + 1]):
                 whole += [ids[i]] if ids[i] < self.n else [self.bytes[b] for b in chr(points[source[i]]).encode()]
-            result[k] = whole
+            result[k] = tuple(whole)
         return result
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         """Ids of each text, the end id last."""
         split = [self.segments.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        split = [x if max(map(len, x), default=0) <= LONG else [p for s in x for p in (self.cut(s) if len(s) > LONG else (s,))] for x in split]
+        distinct = set().union(*split)
+        long = {s for s in distinct if len(s) > LONG}
+        if long:
+            parts = {s: self.cut(s) for s in long}
+            split = [x if long.isdisjoint(x) else [p for s in x for p in parts.get(s, (s,))] for x in split]
+            distinct = set().union(*split)
+            long = {s for s in distinct if len(s) > LONG}
         if len(self.seen) > REMEMBERED:
             self.seen, self.older = {}, self.seen
         seen, older, new = self.seen, self.older, []
-        for s in {s for x in split for s in x}:
-            if s not in seen and len(s) <= LONG:
-                if s in older:
-                    seen[s] = older[s]
-                else:
-                    new.append(s)
+        for s in distinct.difference(seen, long):
+            if s in older:
+                seen[s] = older[s]
+            else:
+                new.append(s)
         i = 0
         while i < len(new):
             j, held = i, 0
@@ -250,14 +260,10 @@ class PieceBpe:
                 j += 1
             seen.update(zip(new[i:j], self.merge(new[i:j])))
             i = j
-        out = []
-        for x in split:
-            ids: list[int] = []
-            for s in x:
-                ids += seen[s] if len(s) <= LONG else self.long(s)
-            ids.append(self.end)
-            out.append(ids)
-        return out
+        # Long segments are not remembered, as their ids may be many.
+        known = seen.__getitem__
+        of = (lambda s: self.long(s) if s in long else seen[s]) if long else known
+        return [[*chain.from_iterable(map(known if long.isdisjoint(x) else of, x)), self.end] for x in split]
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         return [self.lib.decode(x) for x in ids]
