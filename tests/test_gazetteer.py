@@ -269,7 +269,12 @@ def test_closed_form_equals_a_trie(spark):
     names = ["".join(rng.choices("abC", k=rng.randint(1, 7))) for _ in range(400)]
     rows = spark.createDataFrame([("", n, i, 0.0) for i, n in enumerate(names, 1)], "tree string, name string, id int, ranking float")
     entries = index.folded_rows(rows)
-    built = index.with_depth(entries, index.split_prefixes(entries, 8)).cache()
+    split = index.split_prefixes(entries, 8).cache()
+    built = index.with_depth(entries, split).cache()
+    depths = sorted((r["id"], r["depth"]) for r in built.collect())
+    for most in (0, 5, 20):  # no level, the first ones, more of them broadcast
+        assert depths == sorted((r["id"], r["depth"]) for r in index.with_depth(entries, split, most).collect())
+    assert {(r["id"], r["depth"]) for r in index.with_depth(entries, split.limit(0)).collect()} == {(i, 0) for i, _ in depths}
     trie = Trie(8)
     for i, n in enumerate(names, 1):
         trie.add(fold_literal(n), i)

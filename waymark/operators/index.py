@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from waymark.functions.text import fold
 from waymark.operators.features import is_indexed
-from waymark.session import materialise, small
+from waymark.session import materialise
 
 THRESHOLD, MAIN = 4096, ""
 #: Languages whose names every search sees.
@@ -40,10 +40,10 @@ def folded_rows(rows: DataFrame) -> DataFrame:
     return folded.withColumn("n", F.length("folded"))
 
 
-def _prefix_rows(active: DataFrame, first: int) -> DataFrame:
-    """(tree, prefix) of each entry's proper prefixes of LEVELS lengths from `first` on."""
-    last = F.least(F.col("n") - 1, F.lit(first + LEVELS - 1))
-    return active.where(F.col("n") > first).select("tree", F.explode(F.transform(F.sequence(F.lit(first), last), lambda k: F.substring("folded", F.lit(1), k))).alias("prefix"))
+def _prefix_rows(rows: DataFrame, first: int, last: int, *keep: str) -> DataFrame:
+    """(tree, *keep, prefix) of each row's proper prefixes of lengths from `first` to `last`."""
+    lengths = F.sequence(F.lit(first), F.least(F.col("n") - 1, F.lit(last)))
+    return rows.where(F.col("n") > first).select("tree", *keep, F.explode(F.transform(lengths, lambda k: F.substring("folded", F.lit(1), k))).alias("prefix"))
 
 
 def split_prefixes(entries: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -54,10 +54,10 @@ def split_prefixes(entries: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """
     active, first, found = entries.select("tree", "folded", "n"), 0, []
     while True:
-        counts = _prefix_rows(active, first).groupBy("tree", "prefix").agg(F.count("*").alias("extensions")).where(F.col("extensions") >= threshold)
+        last = first + LEVELS - 1
+        counts = _prefix_rows(active, first, last).groupBy("tree", "prefix").agg(F.count("*").alias("extensions")).where(F.col("extensions") >= threshold)
         counts = materialise(counts)
         found.append(counts)
-        last = first + LEVELS - 1
         deep = counts.where(F.length("prefix") == last).select("tree", F.col("prefix").alias("_p"))
         if deep.isEmpty():
             return reduce(DataFrame.unionByName, found)
@@ -65,19 +65,28 @@ def split_prefixes(entries: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
         first = last + 1
 
 
-def with_depth(entries: DataFrame, split: DataFrame) -> DataFrame:
-    """entries with `depth`.  Split prefixes are closed under prefixes, so their number is the depth.
+def with_depth(entries: DataFrame, split: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """entries with `depth`: one more than the length of the longest split prefix, 0 if none is split.
 
-    There are at most (characters of all names / threshold) split prefixes; counted and found few
-    enough they are broadcast level by level, and entries are not shuffled.
+    Split prefixes are closed under prefixes.  Their levels are counted; the first ones, `most` rows
+    together at most, are broadcast one by one, and entries are not shuffled.  These hold the
+    prefixes that most names share.  Names that reach a further level meet all of those in one join.
     """
-    deepest, rows = split.agg(F.max(F.length("prefix")), F.count("*")).first()
-    out = entries.withColumn("depth", F.lit(0))
-    for k in range(0, -1 if deepest is None else deepest + 1):
-        level = split.where(F.length("prefix") == k).select("tree", F.col("prefix").alias("_p"), F.lit(1).alias("_hit"))
-        out = out.withColumn("_p", F.substring("folded", F.lit(1), F.lit(k))).join(small(level, rows, BROADCAST_ROWS), ["tree", "_p"], "left").drop("_p")
-        out = out.withColumn("depth", F.when((F.col("_hit") == 1) & (F.col("n") > k), F.lit(k + 1)).otherwise(F.col("depth"))).drop("_hit")
-    return out
+    levels = split.groupBy(F.length("prefix").alias("k")).agg(F.count("*").alias("held")).orderBy("k").collect()
+    out, held = entries.withColumn("depth", F.lit(0)), 0
+    for first, level_rows in levels:
+        held += level_rows
+        if held > most:
+            break
+        level = split.where(F.length("prefix") == first).select("tree", F.col("prefix").alias("_p"), F.lit(1).alias("_hit"))
+        out = out.withColumn("_p", F.substring("folded", F.lit(1), F.lit(first))).join(F.broadcast(level), ["tree", "_p"], "left").drop("_p")
+        out = out.withColumn("depth", F.when((F.col("_hit") == 1) & (F.col("n") > first), F.lit(first + 1)).otherwise(F.col("depth"))).drop("_hit")
+    if held <= most:
+        return out
+    names = out.where(F.col("depth") == first).select("tree", "folded", "n").distinct()
+    met = _prefix_rows(names, first, levels[-1]["k"], "folded").join(split, ["tree", "prefix"], "left_semi")
+    deep = met.groupBy("tree", "folded").agg((F.max(F.length("prefix")) + 1).alias("_deep"))
+    return out.join(deep, ["tree", "folded"], "left").withColumn("depth", F.greatest("depth", "_deep")).drop("_deep")
 
 
 def name_index(places: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
