@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from waymark.operators import lookup, search
 from waymark.plans import queries as gazetteer
 
 SF = "/root/testdata/sf0.001"
@@ -51,3 +52,16 @@ def test_batch_asks_every_part(spark):
             want[p["p_partkey"]] = hits
     assert got.keys() == want.keys() and {k % 4 for k in want} == {0, 1, 2, 3}
     assert all(len(ids) == min(5, len(want[k])) and want[k].issuperset(ids) for k, ids in got.items())
+
+
+def scan(df):
+    return next(x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "FileScan" in x)
+
+
+def test_requests_reach_the_stored_tables(spark):
+    tables = gazetteer.database(spark, SF)
+    names = scan(search.matches(tables["name_index"], "customer", ["", "en"]))
+    assert "PartitionFilters: [tree" in names and "StringStartsWith(folded,customer)" in names
+    place = scan(lookup.by_ids(tables["places"], [5000007]).select("id", "name"))
+    assert "EqualTo(id,5000007)" in place or "In(id, [5000007])" in place
+    assert place.endswith("ReadSchema: struct<id:int,name:string>")

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.operators.altnames import languages
 from waymark.operators.index import name_index
 from waymark.plans.build import denormalise
-from waymark.session import materialise, table
+from waymark.session import materialise, shared_folder, table
+from waymark.sources import store
 
 RAW_PLACES = """
 SELECT id, name, feature_code, country_iso2, cc2, admin1, admin2, admin3, admin4, population,
@@ -71,12 +74,15 @@ _built: dict[tuple[str, str], dict[str, DataFrame]] = {}
 
 
 def database(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The tables that requests read, built once in an application, as a server's are."""
+    """The stored tables that requests read, built once in an application, as a server's are."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _built:
-        alt = alt_names(spark, sf_dir)
+        alt, folder = alt_names(spark, sf_dir), f"{shared_folder(spark)}/gazetteer-{uuid.uuid4().hex}"
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
         places = materialise(denormalise(raw_places(spark, sf_dir), alt))
-        _built[key] = {"places": places, "name_index": materialise(name_index(places, THRESHOLD)), "languages": languages(alt)}
+        store.write(folder, places, name_index(places, THRESHOLD), languages(alt))
+        _built[key] = store.read(spark, folder)
     return _built[key]
 
 

@@ -28,18 +28,23 @@ def small(df: DataFrame, rows: int, most: int) -> DataFrame:
     return F.broadcast(df) if rows <= most else df
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Runs `df` once and cuts its lineage with a reliable checkpoint.
+def shared_folder(spark: SparkSession) -> str:
+    """This application's own folder below spark.checkpoint.dir, which a cluster shares.
 
-    The folder is spark.checkpoint.dir, which a cluster shares; only on one machine (a local master,
-    as in tests) a temporary one is made where none is set.
+    Only on one machine (a local master, as in tests) a temporary one is made where none is set.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and not sc.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="waymark-"))
+    return sc.getCheckpointDir()
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Runs `df` once and cuts its lineage with a reliable checkpoint."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
