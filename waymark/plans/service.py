@@ -12,6 +12,7 @@ from waymark.operators.features import is_area
 from waymark.operators.lookup import by_ids, get, respond
 from waymark.operators.proximity import nearest, nearest_batch
 from waymark.operators.search import best_of_each, keep_area, keep_country, matches, search_batch, search_ids, trees_of
+from waymark.schema import RESPONSE_FIELDS
 
 DEFAULT_COUNT, MOST, AREA_COUNT, DEFAULT_LANGUAGE = 10, 100, 10, "en"
 
@@ -67,8 +68,8 @@ class Gazetteer:
         if filter_before_limit:
             rows = rows.orderBy(F.desc("priority"), "id").limit(count)
         answer = respond(rows, self.places, language, keep=("priority",), few=True)
-        # An answer has at most 100 rows, so one task ranks them.
-        order = Window.orderBy(F.desc("priority"), "id")
+        # An answer has at most 100 rows, but for shared ids, so one task ranks them; rows of one id stand in the order of their columns.
+        order = Window.orderBy(F.desc("priority"), "id", *[c for c in RESPONSE_FIELDS if c != "id"])
         return answer.withColumn("rank", (F.row_number().over(order) - 1).cast("long")).orderBy("rank").drop("priority")
 
     def areas(self, area: str, language: str) -> DataFrame:
