@@ -66,6 +66,11 @@ def test_localise_shared_ids(spark, shared_ids):
     assert rows(got) == rows(want) and len(want) > want["id"].nunique()
 
 
+def test_json_render_shared_ids(spark, shared_ids):
+    got, want = shared(shared_ids, spark, "json_render")
+    assert rows(got) == rows(want) and len(want) > want["id"].nunique()
+
+
 def test_json_results_shared_ids(spark, shared_ids):
     """The SQL leaves the order of one id's rows open: here they go by their columns, in every run."""
     got, want = ([json.dumps(r) for r in json.loads(t["json"][0])["results"]] for t in shared(shared_ids, spark, "json_results"))
