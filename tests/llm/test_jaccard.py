@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -74,3 +75,14 @@ def test_one_of_each_keeps_columns(spark):
     out = one_of_each(frame(spark, rows).withColumn("key", F.lit(7)))
     assert out.columns == ["doc_id", "text", "source", "sig", "component", "key"]
     assert sorted(str(r["doc_id"]) for r in out.collect()) == ["1", "3", "4", "None"]
+
+
+def test_visits_of_one_document_are_sent_in_parts():
+    """A document of a large family is sent to all its blocks, but never held for all of them at once."""
+    text, kind = " ".join(f"w{k}" for k in range(3000)), pa.struct([(c, pa.int64()) for c in ("key", "salt", "kind", "component")])
+    visits = [{"key": 1, "salt": k, "kind": 1, "component": 7} for k in range(500)]
+    x = pa.RecordBatch.from_arrays([pa.array([7]), pa.array([visits], pa.list_(kind)), pa.array([text])], ["doc_id", "visits", "text"])
+    out = list(N._visits(5)(iter([x])))
+    assert [k for y in out for k in y["salt"].to_pylist()] == list(range(500))
+    assert len({s for y in out for s in y["set"].to_pylist()}) == 1
+    assert max(y.nbytes for y in out) < 3 << 20

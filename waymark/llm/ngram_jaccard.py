@@ -252,12 +252,13 @@ def _visits(size: int):
         for x in runs(batches):
             ids, lists, rows, held = x["doc_id"].to_pylist(), x["visits"].to_pylist(), [], 0
             for i, s in enumerate(shingle_sets(texts_of(x["text"]), size)):
+                # A set goes to every block of its family: of a large one, many times what a batch may hold.
                 for v in lists[i]:
                     rows.append((v["key"], v["salt"], v["kind"], v["component"], ids[i], s.tobytes()))
                     held += 8 * len(s)
-                if held > 2 << 20:
-                    yield batch(schema, *map(list, zip(*rows)))
-                    rows, held = [], 0
+                    if held > 2 << 20:
+                        yield batch(schema, *map(list, zip(*rows)))
+                        rows, held = [], 0
             if rows:
                 yield batch(schema, *map(list, zip(*rows)))
 
