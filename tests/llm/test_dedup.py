@@ -1,6 +1,9 @@
 import hashlib
 import random
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from waymark.llm import substring_dedup
@@ -68,3 +71,38 @@ def test_columns_with_the_operators_names_come_back(spark):
     out = without_repeats(spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` int" for n in names)))
     assert out.columns == ["doc_id", "text", *names]
     assert sorted(map(tuple, out.collect())) == [rows[0], rows[2]]
+
+
+def test_stage_sends_each_text_to_python_once(spark, monkeypatch):
+    text = " ".join(f"a{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, text, 5), (2, "b " + text, 6), (3, None, None)], "doc_id long, text string, n_chars long")
+    seen, real = [], type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, schema, *a, **k: seen.append((self.dtypes, schema)) or real(self, f, schema, *a, **k))
+    out = without_repeats(docs)
+    sent, back = seen[-1]
+    assert [name for name, kind in sent if kind == "string"] == ["text"] and back.count("string") == 1
+    assert sorted(map(tuple, out.collect())) == [(1, text, 5), (2, "b", 1), (3, None, None)]
+
+
+def test_marks_are_merged_a_few_at_a_time(monkeypatch):
+    monkeypatch.setattr(substring_dedup, "MARKS", 200, raising=False)
+    rng = random.Random(4)
+    marks = [[{"tag": rng.randrange(2), "first": (a := rng.randrange(200)), "last": a + rng.randrange(9)} for _ in range(rng.randrange(60))] for _ in range(50)] + [[]]
+    kind = pa.list_(pa.struct([("tag", pa.int64()), ("first", pa.int64()), ("last", pa.int64())]))
+    out = list(substring_dedup._merged([pa.RecordBatch.from_arrays([pa.array(range(51), pa.int64()), pa.array(marks, kind)], ["doc_id", "marks"])]))
+    assert sum(b.num_rows for b in out) == 51 and all(b.num_rows == 1 or sum(len(marks[i]) + 16 for i in b["doc_id"].to_pylist()) <= 200 for b in out)
+    places = lambda own: {(m["tag"], p) for m in own for p in range(m["first"], m["last"] + 1)}
+    for b in out:
+        for i, own in zip(b["doc_id"].to_pylist(), b["marks"].to_pylist()):
+            assert places(own) == places(marks[i]) and sum(m["last"] - m["first"] + 1 for m in own) == len(places(own))
+
+
+def test_held_suffixes_are_joined_in_little_more_than_their_own_room():
+    rng, n = np.random.default_rng(5), 400_000
+    held = [tuple(rng.integers(0, 1000, n // 100) for _ in range(4)) for _ in range(100)]
+    room = 32 * n
+    tracemalloc.start()
+    first = sum(int((b["last"].to_numpy() < 0).sum()) for b in substring_dedup._joined(held))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert 0 < first < n and peak < 2 * room, peak / room

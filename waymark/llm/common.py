@@ -111,9 +111,10 @@ def texts_of(column: pa.Array) -> list[bytes]:
 
 
 def runs(batches: Iterable[pa.RecordBatch], column: str = "text", size: int = CHUNK) -> Iterator[pa.RecordBatch]:
-    """The batches in slices of about `size` bytes of text, so that a worker holds few texts at once."""
+    """The batches in slices of about `size` bytes of text, or elements of lists, so that a worker holds few of them at once."""
     for x in batches:
-        ends = np.cumsum(pc.fill_null(pc.binary_length(x[column]), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 16)
+        length = pc.list_value_length if pa.types.is_list(x[column].type) else pc.binary_length
+        ends = np.cumsum(pc.fill_null(length(x[column]), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 16)
         i = 0
         while i < x.num_rows:
             j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + size, "right")))

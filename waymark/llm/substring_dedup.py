@@ -32,6 +32,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +45,8 @@ WINDOW, GRAM = 50, 19
 BROADCAST_BYTES, ROW, NAME, INTERVAL = 48 << 20, 48, 8, 40
 #: Suffixes that a task joins before it sends them on.
 HELD = 1_000_000
+#: Marks that a task turns into Python's own objects at once (those of one document at least).
+MARKS = 20_000
 #: Words of a path's levels and the bits that hash them; suffixes of a group, and longer prefixes at most.
 LEVELS, GROUP, MOST_PREFIXES = ((4, 24), (8, 16), (16, 12), (32, 12)), 1 << 14, 500_000
 
@@ -141,15 +144,21 @@ def _intervals(doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 def _joined(held: list[tuple]):
     """Leaves of each node's first document, with last = -1; marked intervals of the others."""
-    path, window, doc, at = (np.concatenate(c) for c in zip(*held))
-    order = np.lexsort((doc, window, path))
-    path, window, doc, at = path[order], window[order], doc[order], at[order]
+    columns = [np.concatenate(c) for c in zip(*held)]
+    held.clear()
+    order = np.lexsort((columns[2], columns[1], columns[0]))
+    for k in range(len(columns)):
+        columns[k] = columns[k][order]
+    path, window, doc, at = columns
+    del columns, order
     node = np.concatenate([[True], (path[1:] != path[:-1]) | (window[1:] != window[:-1])])
     owner = doc[np.maximum.accumulate(np.where(node, np.arange(len(doc)), 0))]
-    first, later = doc == owner, doc > owner
-    for i in range(0, int(first.sum()), 50_000):
-        part = slice(i, i + 50_000)
-        yield batch(_LEAF, path[first][part], window[first][part], doc[first][part], at[first][part], np.full(len(doc[first][part]), -1))
+    first, later = np.flatnonzero(doc == owner), doc > owner
+    del node, owner
+    for i in range(0, len(first), 50_000):
+        part = first[i : i + 50_000]
+        yield batch(_LEAF, path[part], window[part], doc[part], at[part], np.full(len(part), -1))
+    del path, window, first
     doc, start, end = _intervals(doc[later], at[later])
     if len(doc):
         # Marks only travel along; their documents deal them out.
@@ -205,7 +214,7 @@ def _merged(batches):
     """Marks of each document, overlapping and adjacent intervals as one."""
     kind = pa.struct([("tag", pa.int64()), ("first", pa.int64()), ("last", pa.int64())])
     schema = pa.schema([("doc_id", pa.int64()), ("marks", pa.list_(kind))])
-    for x in batches:
+    for x in runs(batches, "marks", MARKS):
         out = []
         for marks in x["marks"].to_pylist():
             own = []
@@ -224,29 +233,35 @@ def _few(lists: DataFrame, column: str, each: int) -> DataFrame:
     return small(lists, ROW * shape["rows"] + each * shape["values"], BROADCAST_BYTES)
 
 
+def _left(x: pa.RecordBatch, window: int, gram: int):
+    """Of each row of x(text, marks): its number of words, and those that stay."""
+    marks = x["marks"].to_pylist()
+    for first, part in chunks(texts_of(x["text"])):
+        words = None
+        for i, text in enumerate(part):
+            own = text.split()
+            n, mine = len(own), marks[first + i] or []
+            if mine:
+                words = words or Suffixes(part, window, gram)
+                tag = _tag(words.digests[i])
+                edge = np.zeros(n + 1, np.int64)
+                for m in mine:
+                    if m["tag"] == tag:
+                        edge[m["first"]] += 1
+                        edge[m["last"] + window] -= 1
+                stay = np.cumsum(edge[:-1]) == 0
+                own = [own[k] for k in np.flatnonzero(stay)]
+            yield n, own
+
+
 def _applied(window: int, gram: int):
     def run(batches):
         for x in runs(batches):
-            marks = x["marks"].to_pylist()
             n_words, n_removed, kept = [], [], []
-            for first, part in chunks(texts_of(x["text"])):
-                words = None
-                for i, text in enumerate(part):
-                    own = text.split()
-                    n_words.append(len(own))
-                    mine = marks[first + i] or []
-                    if mine:
-                        words = words or Suffixes(part, window, gram)
-                        tag = _tag(words.digests[i])
-                        edge = np.zeros(len(own) + 1, np.int64)
-                        for m in mine:
-                            if m["tag"] == tag:
-                                edge[m["first"]] += 1
-                                edge[m["last"] + window] -= 1
-                        stay = np.cumsum(edge[:-1]) == 0
-                        own = [own[k] for k in np.flatnonzero(stay)]
-                    n_removed.append(n_words[-1] - len(own))
-                    kept.append(b" ".join(own))
+            for n, own in _left(x, window, gram):
+                n_words.append(n)
+                n_removed.append(n - len(own))
+                kept.append(b" ".join(own))
             rest = [x.column(c) for c in x.schema.names if c not in ("marks", "text")]
             names = [c for c in x.schema.names if c not in ("marks", "text")]
             sha = [hashlib.sha256(k).hexdigest() for k in kept]
@@ -255,6 +270,25 @@ def _applied(window: int, gram: int):
     return run
 
 
+def _cleaned(window: int, gram: int):
+    """Rows with their texts, as they were or without their repeats; a text goes to Python once and comes back once."""
+
+    def run(batches):
+        for x in runs(batches):
+            kept, n_left = [], []
+            for n, own in _left(x, window, gram):
+                changed = len(own) < n
+                kept.append(b" ".join(own).decode() if changed else None)
+                n_left.append(len(own) if changed else None)
+            text, left = x["text"], pa.array(n_left, pa.int64())
+            if left.null_count < len(left):
+                text = pc.if_else(left.is_null(), text, pa.array(kept, text.type))
+            columns = {c: text if c == "text" else x.column(c) for c in x.schema.names if c != "marks"}
+            yield pa.RecordBatch.from_arrays([*columns.values(), left], [*columns, "_left"])
+
+    return run
+
+
 class SubstringDedup:
     def __init__(self, window: int = WINDOW, gram: int = GRAM):
         self.window, self.gram = window, gram
@@ -299,23 +333,25 @@ class SubstringDedup:
 
     def run(self, docs: DataFrame) -> DataFrame:
         """(doc_id, n_words, n_removed, kept_sha256, kept: words joined by a space) of docs(doc_id, text)."""
-        return self._cut(clash_free(docs, "doc_id", "text"))
+        return self._through(clash_free(docs, "doc_id", "text"), _applied, ("marks", "text"), "n_words long, n_removed long, kept_sha256 string, kept string")
+
+    def cleaned(self, docs: DataFrame) -> DataFrame:
+        """docs, whose other columns have names of their own, with what is left of their texts; `_left` counts its words where any went."""
+        return self._through(docs, _cleaned, ("marks",), "_left long")
 
-    def _cut(self, docs: DataFrame) -> DataFrame:
-        """docs, whose other columns have names of their own, without their text and with what `run` gives."""
+    def _through(self, docs: DataFrame, applied, gone: tuple[str, ...], more: str) -> DataFrame:
+        """docs with their marks through `applied`, which gives their columns but for `gone`, and more."""
         marks = self.marks(docs)
         both = docs.join(_few(marks, "marks", INTERVAL).withColumnRenamed("doc_id", "_d"), F.col("doc_id") == F.col("_d"), "left").drop("_d")
-        fields = [f for f in both.schema if f.name not in ("marks", "text")]
-        kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-        return both.mapInArrow(_applied(self.window, self.gram), f"{kinds}, n_words long, n_removed long, kept_sha256 string, kept string")
+        kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in both.schema if f.name not in gone)
+        return both.mapInArrow(applied(self.window, self.gram), f"{kinds}, {more}")
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs with repeated windows cut out of the texts; those of which nothing is left are dropped."""
     columns, kinds = docs.columns, docs.schema
     docs, names = beside(docs, "doc_id", "text", "n_chars")
-    out = SubstringDedup(window)._cut(docs.withColumn("_text", F.col("text"))).where("n_removed = 0 or n_removed < n_words")
-    out = out.withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("_text")))
+    out = SubstringDedup(window).cleaned(docs).where("_left is null or _left > 0")
     if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("kept").cast(kinds["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col("_left") > 0, F.length("text").cast(kinds["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*[F.col(n).alias(c) for n, c in zip(names, columns)])
